@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks import oracle_reports, query_reports
+from checks import oracle_cleaning, oracle_reports, query_cleaning, query_reports
 
-QUERIES = {**query_reports.QUERIES}
-ORACLES = {**oracle_reports.ORACLES}
+QUERIES = {**query_reports.QUERIES, **query_cleaning.QUERIES}
+ORACLES = {**oracle_reports.ORACLES, **oracle_cleaning.ORACLES}
