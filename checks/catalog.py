@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from checks import oracle_cleaning, oracle_reports, query_cleaning, query_reports
+from checks import (
+    oracle_cleaning,
+    oracle_eda,
+    oracle_reports,
+    query_cleaning,
+    query_eda,
+    query_reports,
+)
 
-QUERIES = {**query_reports.QUERIES, **query_cleaning.QUERIES}
-ORACLES = {**oracle_reports.ORACLES, **oracle_cleaning.ORACLES}
+QUERIES = {**query_reports.QUERIES, **query_cleaning.QUERIES, **query_eda.QUERIES}
+ORACLES = {**oracle_reports.ORACLES, **oracle_cleaning.ORACLES, **oracle_eda.ORACLES}

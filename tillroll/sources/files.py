@@ -65,11 +65,17 @@ def read_raw(
 def write_table(
     df: DataFrame, path: str, format: str = "parquet", partition_by: str | None = "year"
 ) -> None:
-    """Write a cleaned table. Parquet is split by year, so that year filters skip files."""
+    """Write a cleaned table. Parquet is split by year, so that year filters skip files.
+
+    Rebalancing gives files of even size: large years are cut up, small ones not
+    scattered over every task.
+    """
+    by_folder = partition_by is not None and format != "csv"
+    df = df.hint("rebalance", partition_by) if by_folder else df.hint("rebalance")
     writer = df.write.mode("overwrite").format(format)
     if format == "csv":
         writer = writer.option("header", True).option("escape", '"')
-    elif partition_by is not None:
+    if by_folder:
         writer = writer.partitionBy(partition_by)
     writer.save(path)
 
