@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tillroll.operators import cleaning, quality
-from tillroll.plans.cleaning import clean_sales
+from tillroll.plans.cleaning import clean_sales, clean_with_summary
 from tillroll.sources.star import raw_sales
 from tillroll.staging import stage
 
@@ -23,12 +23,6 @@ def _cap(df):
     return cleaning.cap_outliers(stage(cleaning.drop_nonpositive_sales(df), "valid"))
 
 
-def _summary(spark, folder):
-    raw = raw_sales(spark, folder)
-    cleaned = quality.quality_report(clean_sales(raw), "CLEANED")
-    return quality.quality_summary(quality.quality_report(raw, "RAW"), cleaned)
-
-
 QUERIES = {
     "quality_report": _on_raw(lambda df: quality.quality_report(df, "RAW").drop("missing_per_col")),
     "quality_missing": _on_raw(
@@ -47,6 +41,6 @@ QUERIES = {
     "clean_valid_dates": _on_raw(cleaning.drop_inverted_dates),
     "clean_derived": _on_raw(cleaning.add_derived),
     "cleaned_sales": _on_raw(clean_sales),
-    "quality_summary": _summary,
+    "quality_summary": _on_raw(lambda df: clean_with_summary(df)[1]),
     "cleaning_audit": _on_raw(quality.cleaning_audit),
 }

@@ -39,13 +39,13 @@ def money_total(x: Column) -> Column:
     return F.coalesce(F.sum(x.cast("decimal(18,4)")).cast("double"), F.lit(0.0))
 
 
-def clip(x: Column, lower: float | Column | None = None, upper: float | Column | None = None) -> Column:
-    """Limit x to [lower, upper]; nulls stay null, and a null bound does not limit."""
+def clip(x: Column, lower: float | None = None, upper: float | None = None) -> Column:
+    """Limit x to [lower, upper]; nulls stay null, and a missing bound does not limit."""
     out = x
     if lower is not None:
-        out = F.greatest(out, lower if isinstance(lower, Column) else F.lit(lower))
+        out = F.greatest(out, F.lit(lower))
     if upper is not None:
-        out = F.least(out, upper if isinstance(upper, Column) else F.lit(upper))
+        out = F.least(out, F.lit(upper))
     return F.when(x.isNotNull(), out)
 
 

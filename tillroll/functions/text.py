@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The characters that count as whitespace.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 
 def strip(x: Column) -> Column:
     """Remove any leading and trailing whitespace (``trim`` removes blanks only)."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(WHITESPACE))
 
 
 def title_case(x: Column) -> Column:
     """Capitalise every run of letters, wherever it starts: ``o'neil-2b`` -> ``O'Neil-2B``.
 
-    ``initcap`` starts words at blanks only, so it serves the strings in which
-    no letter follows anything but a letter or a blank.
+    ``initcap`` starts words at blanks only.
     """
     runs = F.regexp_extract_all(F.lower(x), F.lit(r"([\p{L}]+|[^\p{L}]+)"), F.lit(1))
     capitalised = F.transform(
         runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substr(r, F.lit(2)))
     )
-    return F.when(x.rlike(r"[^\p{L} ]\p{L}"), F.array_join(capitalised, "")).otherwise(F.initcap(x))
+    return F.array_join(capitalised, "")

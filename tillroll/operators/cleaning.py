@@ -1,7 +1,8 @@
 """Cleaning steps: each takes the order lines and returns them changed.
 
-Column statistics reach the rows as scalar subqueries, so no step joins the
-table with anything or brings rows to the driver.
+Steps that need column statistics compute them first, as distributed
+aggregates. Only the finished numbers (one per column) come back, and enter the
+plan as literals: no step joins the table with anything.
 """
 
 from __future__ import annotations
@@ -41,19 +42,18 @@ def impute_numeric(
     df: DataFrame, columns: list[str] = NUMERIC, accuracy: int | None = None
 ) -> DataFrame:
     """Fill nulls with the column's median."""
-    medians = by_column(quantiles(df, {c: [0.5] for c in columns}, accuracy).drop("q"))
-    return _fill(df, columns, medians)
+    medians = by_column(quantiles(df, {c: [0.5] for c in columns}, accuracy))
+    return _fill(df, medians)
 
 
 def impute_categorical(df: DataFrame, columns: list[str] = CATEGORICAL) -> DataFrame:
     """Fill nulls with the column's most frequent value."""
-    return _fill(df, columns, by_column(modes(df, columns)))
+    return _fill(df, by_column(modes(df, columns)))
 
 
-def _fill(df: DataFrame, columns: list[str], values: Column) -> DataFrame:
-    return df.withColumns(
-        {c: F.coalesce(F.col(c), F.try_element_at(values, F.lit(c))) for c in columns}
-    )
+def _fill(df: DataFrame, values: dict[str, object]) -> DataFrame:
+    """Fill nulls; a column without any value has none to fill with and stays null."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in values.items()})
 
 
 def drop_null_dates(df: DataFrame, columns: list[str] = DATES) -> DataFrame:
@@ -101,18 +101,21 @@ def numeric_rules(df: DataFrame) -> DataFrame:
     )
 
 
-def sales_bounds(df: DataFrame, k: float = 3.0, accuracy: int | None = None) -> DataFrame:
-    """One row (lower, upper): the quartiles of sales, k interquartile ranges apart."""
-    quartiles = quantiles(df, {"sales": [0.25, 0.75]}, accuracy)
-    q1 = F.max(F.when(F.col("q") == 0.25, F.col("value")))
-    q3 = F.max(F.when(F.col("q") == 0.75, F.col("value")))
-    return quartiles.agg((q1 - (q3 - q1) * k).alias("lower"), (q3 + (q3 - q1) * k).alias("upper"))
+def sales_bounds(
+    df: DataFrame, k: float = 3.0, accuracy: int | None = None
+) -> tuple[float | None, float | None]:
+    """The first quartile less, and the third plus, k interquartile ranges of sales."""
+    rows = quantiles(df, {"sales": [0.25, 0.75]}, accuracy).collect()
+    if not rows:
+        return None, None
+    q1, q3 = sorted(row["value"] for row in rows)
+    return q1 - (q3 - q1) * k, q3 + (q3 - q1) * k
 
 
 def cap_outliers(df: DataFrame, k: float = 3.0, accuracy: int | None = None) -> DataFrame:
     """Bring sales outside the bounds to the nearer bound."""
-    bounds = sales_bounds(df, k, accuracy).select(F.struct("lower", "upper")).scalar()
-    return df.withColumn("sales", clip(F.col("sales"), bounds["lower"], bounds["upper"]))
+    lower, upper = sales_bounds(df, k, accuracy)
+    return df.withColumn("sales", clip(F.col("sales"), lower, upper))
 
 
 def drop_inverted_dates(df: DataFrame) -> DataFrame:

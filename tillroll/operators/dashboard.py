@@ -2,34 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.dates import in_years
 from tillroll.functions.numeric import half_up, pct
-from tillroll.operators.reports import kpi_overall, monthly_growth, region_performance
+from tillroll.operators.reports import kpi_overall
 
 
 def kpi_cards(sales: DataFrame) -> DataFrame:
-    """(kpi, value): the overall figures, the latest month's growth, sales by region."""
+    """(kpi, value): the overall figures, the latest month and its growth, sales by region.
+
+    Months and regions are summed in the same pass.
+    """
     overall = kpi_overall(sales)
     overall = overall.select(*[F.col(c).cast("double").alias(c) for c in overall.columns]).unpivot(
         [], list(overall.columns), "kpi", "value"
     )
-    latest = monthly_growth(sales).agg(
-        F.max_by("mom_growth_pct", "yr_month").alias("latest_mom_growth_pct"),
-        F.max_by("monthly_sales", "yr_month").alias("latest_month_sales"),
+    # grouping_id has a bit set for every key that is summed over.
+    sums = (
+        sales.select("region", "sales", F.date_format("order_date", "yyyy-MM").alias("month"))
+        .groupingSets([["region"], ["month"]], "region", "month")
+        .agg(half_up(F.sum("sales")).alias("value"), F.grouping_id().alias("_set"))
     )
-    latest = latest.unpivot([], list(latest.columns), "kpi", "value")
-    regions = (
-        region_performance(sales)
-        .where(F.col("region").isNotNull())
-        .select(
-            F.concat(F.lit("region_sales: "), "region").alias("kpi"),
-            F.col("total_sales").alias("value"),
-        )
+    by_month = Window.partitionBy("_set").orderBy(F.asc_nulls_first("month"))
+    latest = F.max("month").over(Window.partitionBy("_set"))
+    cards = sums.withColumns({"_previous": F.lag("value").over(by_month), "_latest": latest})
+    region = F.struct(F.concat(F.lit("region_sales: "), "region").alias("kpi"), "value")
+    month = F.struct(F.lit("latest_month_sales").alias("kpi"), "value")
+    growth = F.struct(
+        F.lit("latest_mom_growth_pct").alias("kpi"),
+        pct(F.col("value") - F.col("_previous"), F.col("_previous")).alias("value"),
+    )
+    parts = F.when((F.col("_set") == 0b01) & F.col("region").isNotNull(), F.array(region)).when(
+        (F.col("_set") == 0b10) & (F.col("month") == F.col("_latest")), F.array(month, growth)
     )
-    return overall.unionByName(latest).unionByName(regions)
+    return overall.unionByName(cards.select(F.inline(parts)))
 
 
 DRILL = ["region", "category", "segment"]

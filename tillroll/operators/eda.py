@@ -144,16 +144,26 @@ def regional(df: DataFrame) -> DataFrame:
 def correlation(df: DataFrame, columns: list[str] = NUMBERS) -> DataFrame:
     """(x, y, corr) below the diagonal; each pair over the rows that have both values.
 
-    A constant column has no correlation (null).
+    A constant column has no correlation (null). Rows are unpivoted into pairs
+    inside the map stage, so one small aggregate serves every pair.
     """
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    pairs = []
-    for y, x in combinations(columns, 2):
-        spread_x = F.expr(f"stddev_pop(`{x}`) filter (where `{y}` is not null)")
-        spread_y = F.expr(f"stddev_pop(`{y}`) filter (where `{x}` is not null)")
-        corr = F.try_divide(F.covar_pop(x, y), spread_x * spread_y)
-        pairs.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), corr.alias("corr")))
-    return numbers.agg(F.array(*pairs).alias("_pairs")).select(F.inline("_pairs"))
+    pairs = ", ".join(f"(`{x}`, `{y}`) as `{x}|{y}`" for y, x in combinations(columns, 2))
+    long = df.sparkSession.sql(
+        f"select * from {{numbers}} unpivot include nulls ((a, b) for pair in ({pairs}))",
+        numbers=numbers,
+    )
+    spread = F.stddev_pop("a") * F.stddev_pop("b")
+    return (
+        long.where("a is not null and b is not null")
+        .groupBy("pair")
+        .agg(F.try_divide(F.covar_pop("a", "b"), spread).alias("corr"))
+        .select(
+            F.substring_index("pair", "|", 1).alias("x"),
+            F.substring_index("pair", "|", -1).alias("y"),
+            "corr",
+        )
+    )
 
 
 def discount_profit_bins(

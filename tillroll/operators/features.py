@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import money_total
+from tillroll.staging import stage
 
 KEYS = ["year", "month", "quarter", "region", "category"]
 SERIES = ["region", "category"]
@@ -68,8 +69,13 @@ def encode(df: DataFrame, columns: list[str] = SERIES) -> DataFrame:
 
 
 def feature_matrix(cleaned: DataFrame) -> DataFrame:
-    """All features; rows without a full history are dropped before the labels are numbered."""
+    """All features; rows without a full history are dropped before the labels are numbered.
+
+    The history is staged (a row per month, region and category), so numbering
+    the labels does not aggregate the sales again.
+    """
     history = add_seasons(add_lags(monthly_features(cleaned))).dropna("any")
+    history = stage(history.hint("rebalance"), "history")
     matrix = encode(history)
     return matrix.select(*history.columns, *[f"{c}_enc" for c in SERIES])
 

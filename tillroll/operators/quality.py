@@ -11,30 +11,50 @@ from tillroll.schema import CATEGORICAL, NUMERIC
 from tillroll.staging import stage
 
 
-def quality_report(df: DataFrame, label: str) -> DataFrame:
-    """One row: rows, columns, missing values (in all and by column) and surplus copies.
+COPIES = "_copies"
+
 
-    Counting the copies of each distinct row first answers all of it in one
-    shuffle, which copies cross once.
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Each different row once, with the number of its copies.
+
+    Copies are counted where they are read, so however many there are of a row,
+    every task sends it on once.
     """
-    distinct = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    missing = [F.sum(F.when(F.col(c).isNull(), F.col("_copies")).otherwise(0)) for c in df.columns]
-    counted = distinct.agg(
-        F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows"),
-        F.count(F.lit(1)).alias("_distinct"),
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(COPIES))
+
+
+def report_of_distinct(distinct: DataFrame, label: str) -> DataFrame:
+    """The quality report of the table that ``distinct_rows`` was taken from."""
+    columns = [c for c in distinct.columns if c != COPIES]
+    missing = [F.sum(F.when(F.col(c).isNull(), F.col(COPIES)).otherwise(0)) for c in columns]
+    return distinct.agg(
+        F.coalesce(F.sum(COPIES), F.lit(0)).alias("rows"),
+        (F.coalesce(F.sum(COPIES), F.lit(0)) - F.count(F.lit(1))).alias("duplicate_rows"),
         F.array(*[F.coalesce(m, F.lit(0)) for m in missing]).alias("_missing"),
-    )
-    names = F.array(*[F.lit(c) for c in df.columns])
-    return counted.select(
+    ).select(
         F.lit(label).alias("stage"),
         "rows",
-        F.lit(len(df.columns)).alias("columns"),
+        F.lit(len(columns)).alias("columns"),
         F.aggregate("_missing", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("total_missing"),
-        (F.col("rows") - F.col("_distinct")).alias("duplicate_rows"),
-        F.map_from_arrays(names, "_missing").alias("missing_per_col"),
+        "duplicate_rows",
+        F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), "_missing").alias(
+            "missing_per_col"
+        ),
     )
 
 
+def quality_report(df: DataFrame, label: str, duplicates: bool = True) -> DataFrame:
+    """One row: rows, columns, missing values (in all and by column) and surplus copies.
+
+    Counting copies shuffles whole rows once; without ``duplicates`` (null then)
+    nothing is shuffled.
+    """
+    if duplicates:
+        return report_of_distinct(distinct_rows(df), label)
+    report = report_of_distinct(df.withColumn(COPIES, F.lit(1)), label)
+    return report.withColumn("duplicate_rows", F.lit(None).cast("bigint"))
+
+
 def missing_by_column(report: DataFrame) -> DataFrame:
     """A quality report's missing values as (stage, column, missing) rows."""
     return report.select("stage", F.explode("missing_per_col").alias("column", "missing"))
@@ -62,18 +82,17 @@ def cleaning_audit(raw: DataFrame, k: float = 3.0) -> DataFrame:
 
     The distinct rows are staged once; one aggregate over them counts every step.
     """
-    unique = stage(cleaning.drop_duplicates(raw), "unique")
+    unique = stage(distinct_rows(raw), "unique")
     absent = {f"_no_{c}": F.col(c).isNull() for c in NUMERIC + CATEGORICAL}
     lines = cleaning.impute_numeric(unique.withColumns(absent), ["sales"])
     kept = cleaning.drop_nonpositive_sales(cleaning.drop_null_dates(lines))
-    bounds = cleaning.sales_bounds(kept, k).select(F.struct("lower", "upper")).scalar()
+    lower, upper = cleaning.sales_bounds(kept, k)
 
     dated = F.col("order_date").isNotNull() & F.col("ship_date").isNotNull()
     nonpositive = F.coalesce(F.col("sales") <= 0, F.lit(False))
-    outside = (F.col("sales") < F.col("_bounds.lower")) | (F.col("sales") > F.col("_bounds.upper"))
-    rows = raw.agg(F.count(F.lit(1))).scalar()
+    outside = (F.col("sales") < F.lit(lower)) | (F.col("sales") > F.lit(upper))
     counts = [
-        ("drop_duplicates", "*", rows - F.count(F.lit(1))),
+        ("drop_duplicates", "*", F.sum(F.col(COPIES) - 1)),
         ("repeated_orders", "order_id", cleaning.repeated_orders(unique).scalar()),
         *[("fill_median", c, F.count_if(f"_no_{c}")) for c in NUMERIC],
         *[("fill_mode", c, F.count_if(f"_no_{c}")) for c in CATEGORICAL],
@@ -90,8 +109,4 @@ def cleaning_audit(raw: DataFrame, k: float = 3.0) -> DataFrame:
         F.struct(F.lit(s).alias("step"), F.lit(c).alias("column"), n.alias("affected"))
         for s, c, n in counts
     ]
-    return (
-        lines.withColumn("_bounds", bounds)
-        .agg(F.array(*table).alias("_table"))
-        .select(F.inline("_table"))
-    )
+    return lines.agg(F.array(*table).alias("_table")).select(F.inline("_table"))

@@ -7,7 +7,7 @@ only the partitions that hold a wanted position are sorted and walked.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.operators.ranking import PART, range_parts
@@ -106,7 +106,6 @@ def modes(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def by_column(stats: DataFrame) -> Column:
-    """(column, value) rows, one per column, as a scalar subquery holding a map."""
-    entries = F.collect_list(F.struct("column", "value"))
-    return stats.agg(F.map_from_entries(entries)).scalar()
+def by_column(stats: DataFrame) -> dict[str, object]:
+    """(column, value) rows as a dict; there is at most one row per column."""
+    return {row["column"]: row["value"] for row in stats.select("column", "value").collect()}

@@ -10,13 +10,19 @@ from tillroll.staging import stage
 
 
 def clean_sales(raw: DataFrame, k: float = 3.0, accuracy: int | None = None) -> DataFrame:
-    """All cleaning steps in order, on canonical column names.
+    """All cleaning steps in order, on canonical column names."""
+    unique = stage(cleaning.drop_duplicates(cleaning.rename_columns(raw)), "unique")
+    return clean_distinct(unique, k, accuracy)
+
 
-    The distinct rows feed two sets of statistics and the result, so they are
-    staged: the one wide shuffle runs once, and the statistics read only the
-    columns they need.
+def clean_distinct(
+    unique: DataFrame, k: float = 3.0, accuracy: int | None = None
+) -> DataFrame:
+    """The steps after the duplicates are gone.
+
+    ``unique`` is read for two sets of statistics and for the result. Staged, it
+    costs its one wide shuffle once, and the statistics read only their columns.
     """
-    unique = stage(cleaning.drop_duplicates(cleaning.rename_columns(raw)), "unique")
     return (
         unique.transform(cleaning.impute_numeric, accuracy=accuracy)
         .transform(cleaning.impute_categorical)
@@ -31,12 +37,22 @@ def clean_sales(raw: DataFrame, k: float = 3.0, accuracy: int | None = None) ->
     )
 
 
+def clean_with_summary(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cleaned table and the before/after summary.
+
+    The raw rows are read and shuffled once, for the report and for cleaning.
+    """
+    distinct = stage(quality.distinct_rows(cleaning.rename_columns(raw)), "unique")
+    cleaned = stage(clean_distinct(distinct.drop(quality.COPIES)), "cleaned")
+    before = quality.report_of_distinct(distinct, "RAW")
+    after = quality.quality_report(cleaned, "CLEANED", duplicates=False)
+    return cleaned, quality.quality_summary(before, after)
+
+
 def run_cleaning(
     spark: SparkSession, source: str, target: str, format: str = "parquet"
 ) -> DataFrame:
     """Clean a raw CSV file into ``target`` and return the before/after summary."""
-    raw = cleaning.rename_columns(read_raw(spark, source))
-    cleaned = stage(clean_sales(raw), "cleaned")
+    cleaned, summary = clean_with_summary(read_raw(spark, source))
     write_table(cleaned, target, format)
-    before = quality.quality_report(raw, "RAW")
-    return quality.quality_summary(before, quality.quality_report(cleaned, "CLEANED"))
+    return summary

@@ -14,7 +14,7 @@ def run_forecasting(
     cleaned: DataFrame, boosting: dict = forecast.BOOSTING
 ) -> tuple[list[Fitted], Fitted]:
     """Build the features, fit and cross-validate every model; the models and the best one."""
-    matrix = stage(feature_matrix(cleaned).hint("rebalance"), "matrix")
-    data = forecast.assemble(stage(scale(split(matrix)), "scaled"))
+    matrix = scale(split(feature_matrix(cleaned))).hint("rebalance")
+    data = forecast.assemble(stage(matrix, "matrix"))
     models = [forecast.fit_with_folds(name, data, boosting) for name in forecast.estimators()]
     return models, forecast.best_of(models)
