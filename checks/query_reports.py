@@ -17,6 +17,7 @@ QUERIES = {
     "sales_view": sales_table,
     "kpi_overall": _on_sales(reports.kpi_overall),
     "monthly_mom_growth": _on_sales(reports.monthly_growth),
+    "monthly_neighbours": _on_sales(reports.monthly_growth, following=True),
     "region_performance": _on_sales(reports.region_performance),
     "top_states": _on_sales(reports.top_states),
     "category_contribution": _on_sales(reports.category_contribution),

@@ -7,8 +7,9 @@ from tests.conftest import LINE, SMALL, column
 from tillroll.functions.numeric import half_even, half_up
 from tillroll.functions.text import strip, title_case
 from tillroll.operators import cleaning, quality
+from tillroll.operators.reports import kpi_overall
 from tillroll.plans.cleaning import clean_sales, run_cleaning
-from tillroll.schema import CANONICAL_COLUMNS, EXPECTED_COLUMNS, RENAMES
+from tillroll.schema import CANONICAL_COLUMNS, EXPECTED_COLUMNS, RENAMES, SALES
 from tillroll.sources import files
 from tillroll.sources.star import raw_sales, register_sales, sales_table
 
@@ -42,6 +43,17 @@ def test_dedup_treats_nulls_as_equal(raw):
     assert quality.quality_report(df, "RAW").first()["duplicate_rows"] == 1
 
 
+def test_a_third_of_all_rows_are_copies(spark):
+    """However many copies a row has, it leaves each reading task once."""
+    rows = spark.range(30000).selectExpr("if(id % 3 = 0, 'hot', cast(id as string)) as a", "1 as b")
+    report = quality.quality_report(rows, "RAW")
+    assert (report.first()["rows"], report.first()["duplicate_rows"]) == (30000, 9999)
+    distinct = quality.distinct_rows(rows).agg(F.count("a"), F.max(quality.COPIES)).first()
+    assert tuple(distinct) == (20001, 10000)
+    plan = rows.dropDuplicates()._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.rindex("HashAggregate")
+
+
 def test_repeated_orders_ignores_missing_ids(raw):
     df = raw([{"order_id": i, "sales": n} for n, i in enumerate(["a", "a", "b", None, None])])
     assert cleaning.repeated_orders(df).first()[0] == 1
@@ -174,3 +186,11 @@ def test_sales_view(spark):
     sales = sales_table(spark, SMALL)
     register_sales(sales)
     assert spark.sql("select count(*) from sales").first()[0] == sales.count()
+
+
+def test_reports_on_cleaned_lines(spark):
+    cleaned = clean_sales(raw_sales(spark, SMALL))
+    sales = files.reporting_table(cleaned)
+    assert sales.schema.simpleString() == SALES.simpleString()
+    got = kpi_overall(sales).first()
+    assert got["total_revenue"] == pytest.approx(cleaned.agg(F.sum("sales")).first()[0], abs=1)

@@ -74,6 +74,24 @@ def test_stage_uses_the_checkpoint_folder(spark):
     assert root in stage(spark.range(3), "x").inputFiles()[0]
 
 
+def test_dropping_staged_tables(tmp_path):
+    """Only the application's own folder goes."""
+    from types import SimpleNamespace as Space
+    from pyspark.sql import SparkSession
+    from tillroll.staging import drop_staged
+
+    spark = SparkSession.getActiveSession()
+    mine, other = tmp_path / "app-1", tmp_path / "app-2"
+    mine.mkdir(), other.mkdir()
+    context = Space(
+        master="local[1]", applicationId="app-1", _jsc=spark.sparkContext._jsc,
+        getCheckpointDir=lambda: str(tmp_path),
+    )
+    conf = Space(get=lambda name, default: str(tmp_path))
+    drop_staged(Space(sparkContext=context, conf=conf, _jvm=spark._jvm))
+    assert not mine.exists() and other.exists()
+
+
 def test_stage_refuses_a_cluster_without_a_shared_folder():
     class Context:
         master = "spark://host:7077"

@@ -121,3 +121,19 @@ def test_cards(sales):
     assert cards["latest_month_sales"] == 75 and cards["latest_mom_growth_pct"] == 50
     assert cards["region_sales: East"] == 50 and cards["region_sales: West"] == 75
     assert len(cards) == 10
+
+
+def test_a_customer_with_a_third_of_all_lines(spark, sales):
+    lines = [
+        {"customer_id": "hot" if i % 3 == 0 else f"c{i % 50}", "order_id": str(i // 2), "sales": i % 7}
+        for i in range(3000)
+    ]
+    got = {r["customer_id"]: r for r in reports.customer_value_ranks(sales(lines)).collect()}
+    totals, orders = {}, {}
+    for x in lines:
+        totals[x["customer_id"]] = totals.get(x["customer_id"], 0) + x["sales"]
+        orders.setdefault(x["customer_id"], set()).add(x["order_id"])
+    assert {c: r["lifetime_value"] for c, r in got.items()} == totals
+    assert {c: r["total_orders"] for c, r in got.items()} == {c: len(o) for c, o in orders.items()}
+    ranks = {c: 1 + sum(v > totals[c] for v in totals.values()) for c in totals}
+    assert {c: r["value_rank"] for c, r in got.items()} == ranks

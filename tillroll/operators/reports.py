@@ -35,8 +35,11 @@ def kpi_overall(sales: DataFrame, rsd: float | None = None) -> DataFrame:
     )
 
 
-def monthly_growth(sales: DataFrame) -> DataFrame:
-    """Sales by month and the change from the month before it in the table."""
+def monthly_growth(sales: DataFrame, following: bool = False) -> DataFrame:
+    """Sales by month and the change from the month before it in the table.
+
+    ``following`` adds the sales of the month after it.
+    """
     monthly = sales.groupBy(
         F.year("order_date").alias("yr"),
         F.month("order_date").alias("mth"),
@@ -44,6 +47,8 @@ def monthly_growth(sales: DataFrame) -> DataFrame:
     ).agg(_total("sales").alias("monthly_sales"), _total("profit").alias("monthly_profit"))
     by_month = Window.orderBy(F.asc_nulls_first("yr"), F.asc_nulls_first("mth"))
     previous = F.col("prev_month_sales")
+    if following:
+        monthly = monthly.withColumn("next_month_sales", F.lead("monthly_sales").over(by_month))
     return (
         monthly.withColumn("prev_month_sales", F.lag("monthly_sales").over(by_month))
         .withColumn("mom_growth_pct", pct(F.col("monthly_sales") - previous, previous))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.schema import DATES, EXPECTED_COLUMNS, NUMERIC, RAW, RENAMES
+from tillroll.schema import DATES, EXPECTED_COLUMNS, NUMERIC, RAW, RENAMES, SALES
 
 # The texts that stand for a missing value in a raw file.
 MISSING = [
@@ -95,3 +95,8 @@ def read_table(spark: SparkSession, path: str, format: str = "parquet") -> DataF
         "revenue_per_unit": "double",
     }
     return header.withColumns({c: F.col(c).cast(t) for c, t in types.items() if c in header.columns})
+
+
+def reporting_table(cleaned: DataFrame) -> DataFrame:
+    """Cleaned lines as the reporting table: its columns, with exact money."""
+    return cleaned.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SALES.fields])

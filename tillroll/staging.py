@@ -25,8 +25,12 @@ def staging_root(spark: SparkSession) -> str:
     return root
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{staging_root(spark)}/{spark.sparkContext.applicationId}"
+
+
 def staging_path(spark: SparkSession, label: str) -> str:
-    return f"{staging_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -34,3 +38,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = staging_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete everything this application has staged; tables read from it are gone too."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(folder, True)
