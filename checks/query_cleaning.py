@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tillroll.operators import cleaning, quality
-from tillroll.plans.cleaning import clean_sales, clean_with_summary
+from tillroll.plans.cleaning import clean_sales, clean_with_report, summarise
 from tillroll.sources.star import raw_sales
 from tillroll.staging import stage
 
@@ -41,6 +41,6 @@ QUERIES = {
     "clean_valid_dates": _on_raw(cleaning.drop_inverted_dates),
     "clean_derived": _on_raw(cleaning.add_derived),
     "cleaned_sales": _on_raw(clean_sales),
-    "quality_summary": _on_raw(lambda df: clean_with_summary(df)[1]),
+    "quality_summary": _on_raw(lambda df: summarise(*clean_with_report(df))),
     "cleaning_audit": _on_raw(quality.cleaning_audit),
 }

@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tillroll.operators.ranking import rank_all
-from tillroll.operators.statistics import modes, quantiles
+from tillroll.operators.statistics import _brackets, _walk, modes, quantiles
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -13,17 +13,16 @@ from tillroll.operators.statistics import modes, quantiles
 def test_quantiles_equal_linear_interpolation(spark, values):
     probabilities = [0.0, 0.25, 0.5, 0.9, 1.0]
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = {r["q"]: r["value"] for r in quantiles(df, {"x": probabilities}).collect()}
+    got = quantiles(df, {"x": probabilities})
     for q in probabilities:
-        assert got[q] == pytest.approx(np.quantile(values, q), abs=1e-12)
+        assert got["x", q] == pytest.approx(np.quantile(values, q), abs=1e-12)
 
 
 def test_quantiles_of_several_columns_with_a_hot_value(spark):
     x = [7.0] * 4000 + [float(i) for i in range(3000)] + [None, float("nan")]
     y = [float(i * i % 997) for i in range(len(x))]
     df = spark.createDataFrame(list(zip(x, y)), "x double, y double")
-    got = {(r["column"], r["q"]): r["value"] for r in quantiles(df, {"x": [0.5], "y": [0.25, 0.5]}).collect()}
-    assert got == {
+    assert quantiles(df, {"x": [0.5], "y": [0.25, 0.5]}) == {
         ("x", 0.5): np.quantile(x[:7000], 0.5),
         ("y", 0.25): np.quantile(y, 0.25),
         ("y", 0.5): np.quantile(y, 0.5),
@@ -32,19 +31,49 @@ def test_quantiles_of_several_columns_with_a_hot_value(spark):
 
 def test_column_without_values_has_no_quantile_or_mode(spark):
     df = spark.createDataFrame([(None, None)], "x double, s string")
-    assert quantiles(df, {"x": [0.5]}).collect() == []
-    assert modes(df, ["s"]).collect() == []
+    assert quantiles(df, {"x": [0.5]}) == {}
+    assert modes(df, ["s"]) == {}
 
 
 def test_sketch(spark):
     df = spark.range(1001).selectExpr("cast(id as double) as x")
-    row = quantiles(df, {"x": [0.5]}, accuracy=10000).first()
-    assert (row["column"], row["q"]) == ("x", 0.5) and abs(row["value"] - 500) <= 1
+    assert abs(quantiles(df, {"x": [0.5]}, accuracy=10000)["x", 0.5] - 500) <= 1
+
+
+@pytest.mark.parametrize("shape", ["mixed", "sorted", "hot"])
+def test_brackets_hold_the_quantiles(spark, shape):
+    """Whether the parts of the table look alike or not, and with a third of it on one value."""
+    n = 60000
+    x = np.random.default_rng(7).lognormal(10, 2, n).round(2)
+    if shape == "sorted":
+        x.sort()
+    if shape == "hot":
+        x[::3] = np.quantile(x, 0.4)
+    df = spark.createDataFrame(pd.DataFrame({"x": x})).repartitionByRange(6, "x") if (
+        shape == "sorted"
+    ) else spark.createDataFrame(pd.DataFrame({"x": x})).repartition(6)
+    wanted = {"x": [0.25, 0.5, 0.75, 0.999]}
+    totals, brackets = _brackets(df, wanted)
+    assert totals == {"x": n}
+    found = _walk(df, totals, brackets)
+    assert set(found) == set(brackets)
+    for (_, q), value in found.items():
+        assert value == pytest.approx(np.quantile(x, q), rel=1e-12)
+    if shape == "mixed":
+        low, high = brackets["x", 0.5]
+        assert ((x >= low) & (x <= high)).sum() < n / 10
+
+
+def test_missed_brackets_are_opened(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(10)], "x double")
+    assert _walk(df, {"x": 10}, {("x", 0.5): (4.0, 4.0)}) == {}
+    assert _walk(df, {"x": 10}, {("x", 0.5): (6.0, 9.0)}) == {}
+    assert quantiles(df, {"x": [0.5]}) == {("x", 0.5): 4.5}
 
 
 def test_mode_is_the_smallest_of_the_most_frequent(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), ("c",), (None,), (None,), (None,)], "s string")
-    assert modes(df, ["s"]).first()["value"] == "a"
+    assert modes(df, ["s"]) == {"s": "a"}
 
 
 @pytest.mark.parametrize("distinct", [1, 3, 40, 5000])

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tillroll.functions.numeric import clip, half_even, ratio
 from tillroll.functions.text import strip, title_case
-from tillroll.operators.statistics import by_column, modes, quantiles
+from tillroll.operators.statistics import modes, quantiles
 from tillroll.schema import CATEGORICAL, DATES, NUMERIC, RENAMES, TEXT, VALUE_MAPS
 
 
@@ -42,13 +42,13 @@ def impute_numeric(
     df: DataFrame, columns: list[str] = NUMERIC, accuracy: int | None = None
 ) -> DataFrame:
     """Fill nulls with the column's median."""
-    medians = by_column(quantiles(df, {c: [0.5] for c in columns}, accuracy))
-    return _fill(df, medians)
+    medians = quantiles(df, {c: [0.5] for c in columns}, accuracy)
+    return _fill(df, {c: v for (c, _), v in medians.items()})
 
 
 def impute_categorical(df: DataFrame, columns: list[str] = CATEGORICAL) -> DataFrame:
     """Fill nulls with the column's most frequent value."""
-    return _fill(df, by_column(modes(df, columns)))
+    return _fill(df, modes(df, columns))
 
 
 def _fill(df: DataFrame, values: dict[str, object]) -> DataFrame:
@@ -105,10 +105,10 @@ def sales_bounds(
     df: DataFrame, k: float = 3.0, accuracy: int | None = None
 ) -> tuple[float | None, float | None]:
     """The first quartile less, and the third plus, k interquartile ranges of sales."""
-    rows = quantiles(df, {"sales": [0.25, 0.75]}, accuracy).collect()
-    if not rows:
+    quartiles = quantiles(df, {"sales": [0.25, 0.75]}, accuracy)
+    if not quartiles:
         return None, None
-    q1, q3 = sorted(row["value"] for row in rows)
+    q1, q3 = quartiles["sales", 0.25], quartiles["sales", 0.75]
     return q1 - (q3 - q1) * k, q3 + (q3 - q1) * k
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.operators import cleaning, quality
-from tillroll.sources.files import read_raw, write_table
+from tillroll.sources.files import read_raw, read_table, write_table
 from tillroll.staging import stage
 
 
@@ -37,22 +37,25 @@ def clean_distinct(
     )
 
 
-def clean_with_summary(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The cleaned table and the before/after summary.
+def clean_with_report(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cleaned table and the quality report of the raw one.
 
     The raw rows are read and shuffled once, for the report and for cleaning.
     """
     distinct = stage(quality.distinct_rows(cleaning.rename_columns(raw)), "unique")
-    cleaned = stage(clean_distinct(distinct.drop(quality.COPIES)), "cleaned")
-    before = quality.report_of_distinct(distinct, "RAW")
+    cleaned = clean_distinct(distinct.drop(quality.COPIES))
+    return cleaned, quality.report_of_distinct(distinct, "RAW")
+
+
+def summarise(cleaned: DataFrame, before: DataFrame) -> DataFrame:
     after = quality.quality_report(cleaned, "CLEANED", duplicates=False)
-    return cleaned, quality.quality_summary(before, after)
+    return quality.quality_summary(before, after)
 
 
 def run_cleaning(
     spark: SparkSession, source: str, target: str, format: str = "parquet"
 ) -> DataFrame:
     """Clean a raw CSV file into ``target`` and return the before/after summary."""
-    cleaned, summary = clean_with_summary(read_raw(spark, source))
+    cleaned, before = clean_with_report(read_raw(spark, source))
     write_table(cleaned, target, format)
-    return summary
+    return summarise(read_table(spark, target, format), before)

@@ -6,8 +6,6 @@ checkpoint folder from whatever session it is handed.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -21,6 +19,5 @@ def local_session(cores: int | str = "*", app: str = "tillroll") -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tillroll-"))
     )
     return builder.getOrCreate()
