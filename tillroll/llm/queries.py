@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillroll.llm.embedding_dedup import near_vectors
+from tillroll.llm.language import languages, learn_languages
+from tillroll.llm.quality import learn_quality, quality_scores
+from tillroll.llm.secret_scan import find_secrets
 from tillroll.llm.simhash import near_duplicates
 
 
@@ -22,8 +26,40 @@ def op5_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def _joined(spans: Column) -> Column:
+    """kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return find_secrets(_table(spark, folder, "documents")).select(
+        "doc_id",
+        *[count(k) for k in ("assign", "access", "hex")],
+        F.sha2(_joined(base), 256).alias("base_sha256"),
+        _joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return quality_scores(docs, learn_quality(docs, _table(spark, folder, "labels")))
+
+
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return languages(docs, learn_languages(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {}
