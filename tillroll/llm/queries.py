@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm.chat import chat_windows, read_back
+from tillroll.llm.decontaminate import find_leaks
 from tillroll.llm.embedding_dedup import near_vectors
 from tillroll.llm.language import languages, learn_languages
 from tillroll.llm.packing import pack_documents
@@ -20,6 +21,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(_table(spark, folder, "embeddings"))
 
@@ -81,6 +86,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash_dedup": op5_simhash_dedup,
