@@ -12,6 +12,7 @@ from tillroll.llm.decontaminate import find_leaks
 from tillroll.llm.embedding_dedup import near_vectors
 from tillroll.llm.language import languages, learn_languages
 from tillroll.llm.packing import pack_documents
+from tillroll.llm.passages import repeated_passages
 from tillroll.llm.quality import learn_quality, quality_scores
 from tillroll.llm.secret_scan import find_secrets
 from tillroll.llm.simhash import near_duplicates
@@ -80,6 +81,10 @@ def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(docs, learn_quality(docs, _table(spark, folder, "labels")))
 
 
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_passages(_table(spark, folder, "documents"))
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return languages(docs, learn_languages(docs))
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_formatting": op6_chat_formatting,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {}
