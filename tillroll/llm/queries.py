@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillroll.llm.chat import chat_windows, read_back
 from tillroll.llm.decontaminate import find_leaks
 from tillroll.llm.embedding_dedup import near_vectors
+from tillroll.llm.katz import katz_scores
 from tillroll.llm.language import languages, learn_languages
 from tillroll.llm.packing import pack_documents
 from tillroll.llm.passages import repeated_passages
@@ -39,6 +40,10 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def op3_katz_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return katz_scores(_table(spark, folder, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(_table(spark, folder, "documents"))
 
@@ -93,6 +98,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_katz_scores": op3_katz_scores,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_chat_formatting": op6_chat_formatting,
