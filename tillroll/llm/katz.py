@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tillroll.llm.words import group_sums, mix, pieces, words
 from tillroll.staging import stage, staging_path
 
-CHUNK = 3_000_000  # tokens
+CHUNK = 1_500_000  # tokens
 SHARD = 2_000_000  # tokens of the corpus for each shard of bigrams
 DISCOUNTED = 5  # counts up to this are discounted by Good and Turing
 TAIL = 0.1  # larger counts lose this much, so that no context is left without mass
@@ -129,7 +129,7 @@ def _chunks(folds: int, fold: int, size: int):
             ]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        for part in pieces(batches):
+        for part in pieces(batches, most=2 << 20):
             found = words(part.column("text"))
             n = found.counts + 1
             ends = np.cumsum(n) - 1
