@@ -356,24 +356,26 @@ def _weigh(group: pd.DataFrame) -> pd.DataFrame:
     taken = np.bincount(place, weights=np.concatenate([*mass, np.zeros(0)]), minlength=len(contexts))
     logs = np.log10(lost) - np.log10(np.maximum(1 - taken, 1e-300))
     for r in group.itertuples(index=False):
-        if r.docs is not None:
-            part = pd.DataFrame(list(r.docs))
-            part["doc"] = np.arange(len(part))
-            out.append(part.assign(chunk=r.chunk))
+        docs, sums = b"", b""
         if r.asked:
             at = np.searchsorted(contexts, unpack_keys(r.asked_keys, r.asked))
             doc = unpack(r.asked_docs, r.asked).astype(np.int64)
             times = unpack(r.asked_n, r.asked).astype(np.float64)
             who, at_doc = np.unique(doc, return_inverse=True)
-            out.append(
-                pd.DataFrame({"chunk": r.chunk, "doc": who, "score": np.bincount(at_doc, weights=logs[at] * times)})
-            )
-    columns = ["chunk", "doc", "id", "train", "tokens", "known", "base", "score"]
-    if not out:
-        return pd.DataFrame({c: [] for c in columns})
-    found = pd.concat(out, ignore_index=True).reindex(columns=columns)
-    kinds = {"id": "Int64", "train": "Int64", "tokens": "Int64", "known": "Int64", "base": "Float64"}
-    return found.astype(kinds)
+            docs = who.astype(np.int32).tobytes()
+            sums = np.bincount(at_doc, weights=logs[at] * times).tobytes()
+        out.append((r.chunk, r.docs, docs, sums))
+    return pd.DataFrame(out, columns=["chunk", "docs", "who", "sums"])
+
+
+def _finish(group: pd.DataFrame) -> pd.DataFrame:
+    """One chunk: its documents, with the weights of all shards added to what it knew."""
+    known = next(d for d in group["docs"] if d is not None)
+    out = pd.DataFrame(list(known), columns=["id", "tokens", "known", "base", "score", "train"])
+    more = np.zeros(len(out))
+    for who, sums in sorted(zip(group["who"], group["sums"], strict=True)):
+        more[np.frombuffer(who, np.int32)] += np.frombuffer(sums)
+    return out.assign(id=out["id"].astype("Int64"), score=out["score"] + more)
 
 
 def katz_scores(
@@ -432,27 +434,19 @@ def katz_scores(
             "asked long, asked_keys binary, asked_docs binary, asked_n binary",
         )
     )
-    parts = said.groupBy("shard").applyInPandas(
-        _weigh,
-        "chunk long, doc long, id long, train long, tokens long, known long, base double, score double",
+    weighed = said.groupBy("shard").applyInPandas(
+        _weigh, f"chunk long, docs {documents}, who binary, sums binary"
     )
     return (
-        parts.groupBy("chunk", "doc")
-        .agg(
-            F.max("id").alias("id"),
-            F.max("train").alias("train"),
-            F.max("tokens").alias("n_tokens"),
-            F.max("known").alias("n_known"),
-            F.max("base").alias("base_score"),
-            F.sum("score").alias("score"),
-        )
+        weighed.groupBy("chunk")
+        .applyInPandas(_finish, "id long, tokens long, known long, base double, score double, train int")
         .select(
             F.col("id").alias(id_col),
             (F.col("train") == 0).alias("held_out"),
-            "n_tokens",
-            "n_known",
+            F.col("tokens").alias("n_tokens"),
+            F.col("known").alias("n_known"),
             F.lit(uni[1]).cast("long").alias("train_tokens"),
-            "base_score",
+            F.col("base").alias("base_score"),
             "score",
         )
     )
