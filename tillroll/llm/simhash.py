@@ -109,11 +109,12 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, segments: int =
     for n, (low, width) in enumerate(_segments(segments)):
         value = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
         tables.append(F.struct(F.lit(n).alias("part"), value.alias("value")))
-        masks = F.array(*[F.lit(m).cast("long") for m in _ball(width, radius // segments)])
-        ball = F.transform(masks, lambda m, v=value: v.bitwiseXOR(m))
-        probes.append(F.transform(ball, lambda v, n=n: F.struct(F.lit(n).alias("part"), v.alias("value"))))
+        probes += [
+            F.struct(F.lit(n).alias("part"), value.bitwiseXOR(F.lit(mask).cast("long")).alias("value"))
+            for mask in _ball(width, radius // segments)
+        ]
     index = distinct.select(F.col("fp").alias("other"), F.explode(F.array(*tables)).alias("at"))
-    probe = distinct.select("fp", F.explode(F.concat(*probes)).alias("at"))
+    probe = distinct.select("fp", F.explode(F.array(*probes)).alias("at"))
     found = probe.select("fp", "at.part", "at.value").join(
         index.select("other", "at.part", "at.value"), ["part", "value"]
     )
