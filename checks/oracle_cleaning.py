@@ -47,10 +47,7 @@ def mode(c: str) -> str:
 
 def quantile(c: str, q: float, table: str) -> str:
     """Linear interpolation between the two neighbours of position (n - 1) * q."""
-    return f"""(SELECT MAX(CASE WHEN i = FLOOR(p) THEN v END)
- + (MAX(CASE WHEN i = CEIL(p) THEN v END) - MAX(CASE WHEN i = FLOOR(p) THEN v END)) * MAX(p - FLOOR(p))
- FROM (SELECT {c} AS v, ROW_NUMBER() OVER (ORDER BY {c}) - 1 AS i, (COUNT(*) OVER () - 1) * {q}::DOUBLE AS p
-       FROM {table} WHERE {c} IS NOT NULL))"""
+    return f"(SELECT QUANTILE_CONT({c}, {q}) FROM {table})"
 
 
 def title(c: str) -> str:

@@ -26,7 +26,7 @@ def _cap(df):
 QUERIES = {
     "quality_report": _on_raw(lambda df: quality.quality_report(df, "RAW").drop("missing_per_col")),
     "quality_missing": _on_raw(
-        lambda df: quality.missing_by_column(quality.quality_report(df, "RAW"))
+        lambda df: quality.missing_by_column(quality.quality_report(df, "RAW", duplicates=False))
     ),
     "clean_dedup": _on_raw(cleaning.drop_duplicates),
     "dup_order_ids": _on_raw(lambda df: cleaning.repeated_orders(cleaning.drop_duplicates(df))),

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from checks.written import cleaned
 from tillroll.operators import eda
 
-YEARS = list(range(1995, 2002))
-REGIONS = ["Africa", "America", "Asia", "Europe", "Middle East"]
 
 
 def _on_cleaned(table, **params):
@@ -27,10 +25,10 @@ QUERIES = {
     ),
     "eda_monthly_trend": _on_cleaned(eda.monthly_trend),
     "eda_quarterly": _on_cleaned(eda.quarterly),
-    "eda_quarter_pivot": _on_cleaned(eda.quarter_by_year, years=YEARS),
+    "eda_quarter_pivot": _on_cleaned(eda.quarter_by_year),
     "eda_category_share": _on_cleaned(eda.category_share),
     "eda_top2_share": _on_cleaned(eda.top_share),
-    "eda_subcat_region": _on_cleaned(eda.subcategory_by_region, regions=REGIONS),
+    "eda_subcat_region": _on_cleaned(eda.subcategory_by_region),
     "eda_regional": _on_cleaned(eda.regional),
     "eda_correlation": _on_cleaned(lambda df: _rounded(eda.correlation(df), 6, "corr")),
     "eda_discount_profit_bins": _on_cleaned(eda.discount_profit_bins),

@@ -75,6 +75,22 @@ def test_pivot_has_gaps(lines):
     assert rows == [(1, 5.0, None), (2, None, 6.0)]
 
 
+def test_pivots_hold_every_value(lines):
+    df = lines(
+        [
+            {"order_date": dt.date(2000, 1, 1), "region": "East", "sales": 5},
+            {"order_date": dt.date(2001, 1, 1), "region": "North", "sales": 100},
+        ]
+    )
+    assert [r.asDict() for r in eda.quarter_by_year(df).collect()] == [
+        {"quarter": 1, "sales_2000": 5.0, "sales_2001": 100.0}
+    ]
+    row = eda.subcategory_by_region(df).first()
+    assert (row["east"], row["north"], row["total"]) == (5.0, 100.0, 105.0)
+    row = eda.subcategory_by_region(df, ["East"]).first()
+    assert (row["east"], row["other"], row["total"]) == (5.0, 100.0, 105.0)
+
+
 def test_risk_and_peak(lines):
     df = lines(
         [

@@ -136,3 +136,16 @@ def test_bands(spark, data):
     assert len(rows) == data.select("region", "category").distinct().count()
     widths = {round(r["upper"] - r["forecast"], 4) for r in rows}
     assert len(widths) == 1 and widths.pop() > 0
+
+
+def test_ended_series_get_no_forecast(spark):
+    rows = [
+        ("East", "Tables", 1, 1, 2018, 12, 10.0, 9.0, 8.0),
+        ("East", "Chairs", 1, 2, 2018, 11, 10.0, 9.0, 8.0),
+        ("East", "Chairs", 1, 2, 2018, 12, 11.0, 10.0, 9.0),
+        ("West", "Tables", 2, 1, 2018, 10, 7.0, 6.0, 5.0),
+    ]
+    names = f"region string, category string, region_enc int, category_enc int, year int, month int, {forecast.TARGET} double, lag_1_sales double, lag_2_sales double"
+    ahead = forecast.next_month(spark.createDataFrame(rows, names)).collect()
+    got = sorted((r.region, r.category, r.year, r.month, r.lag_1_sales, r.lag_3_sales) for r in ahead)
+    assert got == [("East", "Chairs", 2019, 1, 11.0, 9.0), ("East", "Tables", 2019, 1, 10.0, 8.0)]

@@ -4,8 +4,8 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from bench import SLOW
+from checks import catalog
 from checks.written import cleaned
 from tests.conftest import SMALL
 from tillroll.functions.dates import in_years
@@ -13,7 +13,7 @@ from tillroll.operators import reports, statistics
 from tillroll.sources.star import sales_table
 from tillroll.staging import stage, staging_root
 
-QUERIES = {k: q for k, q in entry.queries().items() if k not in SLOW | {"forecast_gbt"}}
+QUERIES = {k: q for k, q in catalog.QUERIES.items() if k not in SLOW | {"forecast_gbt"}}
 
 
 def plan(df):
@@ -75,6 +75,18 @@ def test_stage_uses_the_checkpoint_folder(spark):
     assert staging_root(spark).removeprefix("file:") in stage(spark.range(3), "x").inputFiles()[0]
 
 
+def test_one_folder_for_a_local_application_without_a_setting():
+    from types import SimpleNamespace as Space
+
+    made = []
+    context = Space(
+        master="local[2]", applicationId="app-local", setCheckpointDir=made.append,
+        getCheckpointDir=lambda: f"{made[0]}/made-by-spark" if made else None,
+    )
+    session = Space(sparkContext=context, conf=Space(get=lambda name, default: default))
+    assert staging_root(session) == staging_root(session) == made[0]
+
+
 def test_dropping_staged_tables(tmp_path):
     """Only the application's own folder goes."""
     from types import SimpleNamespace as Space
@@ -93,9 +105,10 @@ def test_dropping_staged_tables(tmp_path):
     assert not mine.exists() and other.exists()
 
 
-def test_stage_refuses_a_cluster_without_a_shared_folder():
+@pytest.mark.parametrize("address", ["spark://host:7077", "local-cluster[2,1,1024]"])
+def test_stage_refuses_a_cluster_without_a_shared_folder(address):
     class Context:
-        master = "spark://host:7077"
+        master, applicationId = address, "app-without-folder"
 
         def getCheckpointDir(self):
             return None

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tillroll.functions.numeric import clip, half_even, ratio
 from tillroll.functions.text import strip, title_case
 from tillroll.operators.statistics import modes, quantiles
-from tillroll.schema import CATEGORICAL, DATES, NUMERIC, RENAMES, TEXT, VALUE_MAPS
+from tillroll.schema import CATEGORICAL, DATES, NUMERIC, RENAMES, TEXT
 
 
 def rename_columns(df: DataFrame) -> DataFrame:
@@ -67,16 +67,16 @@ def fill_text(df: DataFrame, columns: list[str] = TEXT, value: str = "Unknown")
 def standardise(
     df: DataFrame,
     columns: list[str] | None = None,
-    value_maps: dict[str, dict[str, str]] = VALUE_MAPS,
+    value_maps: dict[str, dict[str, str]] | None = None,
 ) -> DataFrame:
-    """Strip and title-case the string columns (all by default), then map known values.
+    """Strip and title-case the string columns (all by default), then map known values, if any are given.
 
     Nulls stay null.
     """
     if columns is None:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     df = df.withColumns({c: title_case(strip(F.col(c))) for c in columns})
-    mapped = {c: m for c, m in value_maps.items() if c in df.columns}
+    mapped = {c: m for c, m in (value_maps or {}).items() if c in df.columns}
     return df.withColumns({c: _mapped(F.col(c), m) for c, m in mapped.items()})
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.dates import month_name, month_start
 from tillroll.functions.numeric import half_even, half_up, money_total, pct, ratio
+from tillroll.staging import stage
 
 NUMBERS = [
     "sales", "quantity", "discount", "profit", "profit_margin_pct", "days_to_ship",
@@ -84,10 +85,23 @@ def quarterly(df: DataFrame) -> DataFrame:
     )
 
 
-def quarter_by_year(df: DataFrame, years: list[int]) -> DataFrame:
-    """One row per quarter, one column ``sales_<year>`` per year; null where there are no rows."""
+def _values(table: DataFrame, column: str) -> list:
+    """The different values of a column of an already small, written table, in order."""
+    return [r[0] for r in table.select(column).distinct().orderBy(column).collect()]
+
+
+def quarter_by_year(df: DataFrame, years: list[int] | None = None) -> DataFrame:
+    """One row per quarter, one column ``sales_<year>`` per year; null where there are no rows.
+
+    Without a list every year present has a column; to find them the aggregate (one row per
+    quarter and year) is computed and written when this is called.
+    """
+    table = quarterly(df)
+    if years is None:
+        table = stage(table, "quarters")
+        years = _values(table, "year")
     return (
-        quarterly(df)
+        table
         .groupBy("quarter")
         .pivot("year", years)
         .agg(F.first("sales"))
@@ -108,22 +122,34 @@ def top_share(df: DataFrame, k: int = 2) -> DataFrame:
     return top.agg(half_even(F.sum("pct"), 1).alias("top_pct"))
 
 
-def subcategory_by_region(df: DataFrame, regions: list[str]) -> DataFrame:
-    """Sales of each sub-category by region, also in thousands, largest total first."""
+def subcategory_by_region(df: DataFrame, regions: list[str] | None = None) -> DataFrame:
+    """Sales of each sub-category by region, also in thousands, largest total first.
+
+    Without a list every region present has a column; to find them the aggregate (one row per
+    sub-category and region) is computed and written when this is called. With a list the
+    other regions are summed in ``other``; the total is over all regions either way.
+    """
+    cells = _grouped(df, "sub_category", "region").agg(money_total(F.col("sales")).alias("sales"))
+    listed = regions is not None
+    if not listed:
+        cells = stage(cells, "cells")
+        regions = _values(cells, "region")
     names = {r: r.lower().replace(" ", "_") for r in regions}
-    table = (
-        _grouped(df, "sub_category", "region")
-        .agg(money_total(F.col("sales")).alias("sales"))
-        .groupBy("sub_category")
-        .pivot("region", regions)
-        .agg(F.first("sales"))
-        .fillna(0.0, subset=regions)
+
+    def summed(condition) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("sales"))), F.lit(0.0))
+
+    columns = {n: summed(F.col("region") == r) for r, n in names.items()}
+    if listed:
+        columns["other"] = summed(~F.col("region").isin(regions))
+    table = cells.groupBy("sub_category").agg(
+        *[c.alias(n) for n, c in columns.items()], F.lit(None).cast("int").alias("_")
     )
-    total = sum((F.col(f"`{r}`") for r in regions), F.lit(0.0))
+    total = sum((F.col(n) for n in columns), F.lit(0.0))
     return table.select(
         "sub_category",
-        *[F.col(f"`{r}`").alias(n) for r, n in names.items()],
-        *[half_even(F.col(f"`{r}`") / 1000).alias(f"{n}_k") for r, n in names.items()],
+        *columns,
+        *[half_even(F.col(n) / 1000).alias(f"{n}_k") for n in names.values()],
         total.alias("total"),
     ).orderBy(F.desc("total"), "sub_category")
 

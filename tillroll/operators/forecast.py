@@ -202,14 +202,17 @@ KNOWN_AHEAD = [
 
 
 def next_month(matrix: DataFrame) -> DataFrame:
-    """The features of the month after the last one, for every region and category."""
+    """The features of the month after the last one, for every region and category that has rows in it.
+
+    A series that ended earlier has no last months to go by and is left out.
+    """
     number = F.col("year") * 12 + F.col("month") - 1
     history = F.struct(TARGET, "lag_1_sales", "lag_2_sales")
     upcoming = matrix.agg(F.max(number) + 1).scalar()
     latest = matrix.groupBy("region", "category", "region_enc", "category_enc").agg(
-        F.max_by(history, number).alias("_h")
+        F.max_by(history, number).alias("_h"), F.max(number).alias("_last")
     )
-    dated = latest.withColumn("_next", upcoming).select(
+    dated = latest.where(F.col("_last") + 1 == upcoming).drop("_last").withColumn("_next", upcoming).select(
         "*",
         F.floor(F.col("_next") / 12).cast("int").alias("year"),
         (F.col("_next") % 12 + 1).cast("int").alias("month"),

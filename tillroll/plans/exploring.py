@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame
 from tillroll.operators import eda
 
 
-def run_eda(cleaned: DataFrame, years: list[int], regions: list[str]) -> dict[str, DataFrame]:
+def run_eda(
+    cleaned: DataFrame, years: list[int] | None = None, regions: list[str] | None = None
+) -> dict[str, DataFrame]:
     """The tables by name; each is computed when it is read."""
     return {
         "sales_distribution": eda.histogram(cleaned, "sales", 60),

@@ -6,20 +6,25 @@ consumer and does not need its producers again when an executor is lost.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_private: dict[str, str] = {}  # the temporary folder of each local application
+
+
 def staging_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one in local mode only."""
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or _private.get(sc.applicationId)
+    root = root or sc.getCheckpointDir()
     if root is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="tillroll-")
+        root = _private[sc.applicationId] = tempfile.mkdtemp(prefix="tillroll-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root
