@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.oracle_base import COLUMNS, SALES_LINES
-from tillroll.schema import CANONICAL_COLUMNS, CATEGORICAL, NUMERIC, TEXT
+from tillroll.schema import CANONICAL_COLUMNS, CATEGORICAL, DATES, NUMERIC, TEXT
 
 STRINGS = ["order_id", "customer_id"] + CATEGORICAL + TEXT
 
@@ -132,7 +132,23 @@ AUDIT = [
     ("drop_inverted_dates", "ship_date", "(SELECT COUNT(*) FROM valid WHERE ship_date < order_date)"),
 ]
 
+K = "CAST(order_id AS BIGINT)"
+BAD_DATE = {c: f"({K} % 31 = 2 AND {K} % 29 <> 1 AND {c} IS NOT NULL)" for c in DATES}
+SPOILED = {"sales": 23, "quantity": 37, "discount": 41, "profit": 43}
+BAD = BAD_DATE | {c: f"({K} % {n} = 4 OR ({K} % {n} = 3 AND {c} IS NOT NULL))" for c, n in SPOILED.items()}
+PARSED = {c: f"CASE WHEN {BAD[c]} THEN NULL ELSE {c} END" for c in DATES} | {
+    c: f"CASE WHEN {BAD[c]} OR {K} % {n} = 5 THEN NULL ELSE {c} END" for c, n in SPOILED.items()
+}
+NAMES = ", ".join(f"CASE WHEN {bad} THEN '{c}' END" for c, bad in BAD.items())
+
 ORACLES = {
+    "raw_parsed": f"""{RAW_CTE}, named AS (SELECT *, CONCAT_WS(',', {NAMES}) AS unreadable FROM raw_sales)
+{select_with(PARSED, "named").replace(" FROM named", ", unreadable FROM named")}""",
+    "raw_unreadable": f"{RAW_CTE} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", COUNT(*) FILTER (WHERE {bad}) AS cells FROM raw_sales"
+        for c, bad in BAD.items()
+    ),
+    "quality_report_cleaned": f"{CLEANED_CTE} {report('CLEANED', CLEANED_COLUMNS, 'cleaned_sales')}",
     "quality_report": f"{RAW_CTE} {report('RAW', CANONICAL_COLUMNS, 'raw_sales')}",
     "quality_missing": f"{RAW_CTE} " + " UNION ALL ".join(
         f"SELECT 'RAW' AS stage, '{c}' AS \"column\", {missing(c, 'raw_sales')} AS missing"

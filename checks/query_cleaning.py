@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tillroll.operators import cleaning, quality
 from tillroll.plans.cleaning import clean_sales, clean_with_report, summarise
+from tillroll.schema import UNREADABLE
+from tillroll.sources.files import typed
 from tillroll.sources.star import raw_sales
 from tillroll.staging import stage
 
@@ -23,7 +28,40 @@ def _cap(df):
     return cleaning.cap_outliers(stage(cleaning.drop_nonpositive_sales(df), "valid"))
 
 
+def _as_text(raw: DataFrame) -> DataFrame:
+    """The rows as a file would hold them, some cells written in ways that cannot be read."""
+    k = F.col("order_id").cast("long")
+
+    def date(c: str):
+        us = F.date_format(c, "M/d/yyyy H:mm")
+        return F.when(k % 29 == 1, us).when(k % 31 == 2, F.date_format(c, "dd-MMM-yyyy")).otherwise(F.col(c).cast("string"))
+
+    def number(c: str, n: int):
+        text = F.col(c).cast("string")
+        return F.when(k % n == 3, F.concat(F.lit("$"), text)).when(k % n == 4, "Infinity").when(k % n == 5, "n/a").otherwise(text)
+
+    return raw.withColumns(
+        {
+            "order_date": date("order_date"),
+            "ship_date": date("ship_date"),
+            "sales": number("sales", 23),
+            "quantity": number("quantity", 37),
+            "discount": number("discount", 41),
+            "profit": number("profit", 43),
+        }
+    )
+
+
+def _parsed(raw: DataFrame) -> DataFrame:
+    return typed(_as_text(raw), unreadable="mark")
+
+
 QUERIES = {
+    "raw_parsed": _on_raw(lambda df: _parsed(df).withColumn("unreadable", F.array_join(UNREADABLE, ",")).drop(UNREADABLE)),
+    "raw_unreadable": _on_raw(lambda df: quality.unreadable_cells(_parsed(df))),
+    "quality_report_cleaned": _on_raw(
+        lambda df: quality.quality_report(clean_sales(df), "CLEANED").drop("missing_per_col")
+    ),
     "quality_report": _on_raw(lambda df: quality.quality_report(df, "RAW").drop("missing_per_col")),
     "quality_missing": _on_raw(
         lambda df: quality.missing_by_column(quality.quality_report(df, "RAW", duplicates=False))

@@ -1,4 +1,6 @@
 import datetime as dt
+import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,16 +11,19 @@ from tillroll.functions.text import strip, title_case
 from tillroll.operators import cleaning, quality
 from tillroll.operators.reports import kpi_overall
 from tillroll.plans.cleaning import clean_sales, run_cleaning
-from tillroll.schema import CANONICAL_COLUMNS, EXPECTED_COLUMNS, RENAMES, SALES
+from tillroll.operators.statistics import quantiles
+from tillroll.schema import CANONICAL_COLUMNS, EXPECTED_COLUMNS, RENAMES, SALES, UNREADABLE
 from tillroll.sources import files
 from tillroll.sources.star import raw_sales, register_sales, sales_table
+from tillroll.staging import staging_path
 
 DAY = dt.date(2000, 1, 10)
 
 
 @pytest.mark.parametrize(
     "text",
-    ["O'Neil", "home-office", "IPHONE 4s", "éCOLE", "ab1c_d2E", "", " two  words ", "3-MEDIUM"],
+    ["O'Neil", "home-office", "IPHONE 4s", "éCOLE", "ab1c_d2E", "", " two  words ", "3-MEDIUM",
+     "中a", "aʼb", "ßa", "ǆx", "İstanbul", "a\nb"],
 )
 def test_title_case_equals_python(spark, text):
     df = spark.createDataFrame([(text,)], "s string")
@@ -153,11 +158,66 @@ CSV = [
 
 
 def test_raw_file(spark, tmp_path):
-    first, second = files.read_raw(spark, _write_raw(tmp_path, CSV)).collect()
+    first, second = files.read_raw(spark, _write_raw(tmp_path, CSV), unreadable="mark").collect()
     assert first["Order Date"] == dt.date(2000, 11, 8) and first["Ship Date"] == dt.date(2000, 11, 11)
     assert first["Customer Name"] == 'O"Neil, Ann' and first["Sales"] == 10.5
     assert second["Order Date"] is None and second["Segment"] is None
     assert (second["Sales"], second["Discount"], second["Profit"]) == (None, None, None)
+    assert first[UNREADABLE] == [] and second[UNREADABLE] == ["order_date", "sales"]
+
+
+@pytest.mark.parametrize("cell", ["2000-02-30", "abc"])
+def test_an_unreadable_cell_stops_the_job_that_reads_it(spark, tmp_path, cell):
+    at = {"2000-02-30": 1, "abc": 12}[cell]
+    cells = ["A-1", "2000-11-08", "2000-11-11", "First", "C1", "Ann", "s", "E", "S1", "C", "L", "P", "1.5", "2", "0", "1"]
+    cells[at] = cell
+    raw = files.read_raw(spark, _write_raw(tmp_path, [",".join(cells)]))
+    assert raw.select("Order ID").first()[0] == "A-1"
+    with pytest.raises(Exception, match=f"unreadable .*: {cell}"):
+        raw.collect()
+    with pytest.raises(ValueError, match="unreadable"):
+        files.read_raw(spark, str(tmp_path / "raw.csv"), unreadable="maybe")
+
+
+DIRTY = [
+    f"A-{n},{day},2019-11-20,First,C1,Ann,Consumer,East,S1,Chairs,Low,P1,{sales},2,0.1,1"
+    for n, (day, sales) in enumerate(
+        [("2019-11-08", "10"), ("11/8/2019 10:00", "11"), ("11/8/2019", "12"), ("08-Nov-2019", "13"),
+         ("2019-11-09", '"1,234.50"'), ("2019-11-10", ""), ("8. Nov", "14"), ("2019-11-10", "11")]
+    )
+]
+
+
+@pytest.mark.parametrize("how, filled", [("keep", [None]), ("fill", [11.5])])
+def test_unreadable_cells_are_counted_and_kept_as_asked(spark, tmp_path, how, filled):
+    path = _write_raw(tmp_path, [*DIRTY, DIRTY[3]])
+    with pytest.raises(ValueError, match=r"'order_date': 3, 'sales': 1"):
+        run_cleaning(spark, path, str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+    before = _staged(spark)
+    run = run_cleaning(spark, path, str(tmp_path / "out"), unreadable=how)
+    assert _staged(spark) == before
+    counts = {r["column"]: r["cells"] for r in run.unreadable.collect() if r["cells"]}
+    assert counts == {"order_date": 3, "sales": 1}
+    out = files.read_table(spark, str(tmp_path / "out"))
+    assert out.columns.count(UNREADABLE) == 0 and out.count() == 6
+    assert [r["sales"] for r in out.where("order_id = 'A-4'").collect()] == filled
+    assert out.where("order_id = 'A-5'").first()["sales"] == 11.5
+    assert out.where("order_id = 'A-1'").first()["order_date"] == dt.date(2019, 11, 8)
+    steps = {(r["step"], r["column"]): r["affected"] for r in run.audit.collect()}
+    assert steps["fill_median", "sales"] == (1 if how == "keep" else 2)
+    assert steps["drop_duplicates", "*"] == 1 and steps["drop_null_dates", "*"] == 2
+    assert run.before.first()["duplicate_rows"] == 1 and run.after.first()["duplicate_rows"] == 0
+    assert run.before.first()["columns"] == len(CANONICAL_COLUMNS)
+
+
+def _staged(spark):
+    return sorted(os.listdir(staging_path(spark, "x").removeprefix("file:").rsplit("/", 1)[0]))
+
+
+def test_infinities_are_no_values(spark):
+    df = spark.createDataFrame([(-math.inf,), (-math.inf,), (1.0,), (3.0,), (math.inf,), (math.nan,), (None,)], "x double")
+    assert quantiles(df, {"x": [0.5]}) == {("x", 0.5): 2.0}
 
 
 def test_missing_columns_are_named_and_extra_ones_kept(spark, tmp_path):
@@ -174,11 +234,14 @@ def test_from_file_to_file(spark, tmp_path, format):
     raw = raw_sales(spark, SMALL).withColumnsRenamed({v: k for k, v in RENAMES.items()})
     assert len(header) == len(raw.columns)
     raw.write.option("header", True).option("escape", '"').csv(str(tmp_path / "raw"))
-    summary = run_cleaning(spark, str(tmp_path / "raw"), str(tmp_path / "out"), format)
+    run = run_cleaning(spark, str(tmp_path / "raw"), str(tmp_path / "out"), format)
+    summary = run.summary
     cleaned = files.read_table(spark, str(tmp_path / "out"), format)
     direct = clean_sales(raw_sales(spark, SMALL))
     shown = [c for c in direct.columns]
     assert cleaned.select(*shown).exceptAll(direct).count() == 0
+    same = quality.cleaning_audit(raw_sales(spark, SMALL))
+    assert sorted(run.audit.collect()) == sorted(same.collect())
     assert summary.first()["rows_after"] == cleaned.count() == direct.count()
 
 

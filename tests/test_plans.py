@@ -122,3 +122,8 @@ def test_stage_refuses_a_cluster_without_a_shared_folder(address):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         staging_root(Session())
+
+
+def test_cards_read_the_lines_once(spark):
+    text = plan(catalog.QUERIES["kpi_cards"](spark, SMALL))
+    assert len(re.findall(r"FileScan parquet.*l_extendedprice", text)) == 1

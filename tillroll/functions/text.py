@@ -11,6 +11,8 @@ WHITESPACE = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
+_CASED = r"[\p{IsLowercase}\p{IsUppercase}\p{Lt}]"
+
 
 def strip(x: Column) -> Column:
     """Remove any leading and trailing whitespace (``trim`` removes blanks only)."""
@@ -18,12 +20,9 @@ def strip(x: Column) -> Column:
 
 
 def title_case(x: Column) -> Column:
-    """Capitalise every run of letters, wherever it starts: ``o'neil-2b`` -> ``O'Neil-2B``.
+    """Capitalise every run of cased letters, wherever it starts: ``o'neil-2b`` -> ``O'Neil-2B``.
 
-    ``initcap`` starts words at blanks only.
+    ``initcap`` alone starts words at blanks only. Letters without case end a run, as digits do.
     """
-    runs = F.regexp_extract_all(F.lower(x), F.lit(r"([\p{L}]+|[^\p{L}]+)"), F.lit(1))
-    capitalised = F.transform(
-        runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substr(r, F.lit(2)))
-    )
-    return F.array_join(capitalised, "")
+    runs = F.regexp_extract_all(x, F.lit(f"({_CASED}+|[^{_CASED[1:]}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, F.initcap), "")

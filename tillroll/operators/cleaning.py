@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tillroll.functions.numeric import clip, half_even, ratio
 from tillroll.functions.text import strip, title_case
 from tillroll.operators.statistics import modes, quantiles
-from tillroll.schema import CATEGORICAL, DATES, NUMERIC, RENAMES, TEXT
+from tillroll.schema import CATEGORICAL, DATES, NUMERIC, RENAMES, TEXT, UNREADABLE
 
 
 def rename_columns(df: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def repeated_orders(df: DataFrame) -> DataFrame:
 def impute_numeric(
     df: DataFrame, columns: list[str] = NUMERIC, accuracy: int | None = None
 ) -> DataFrame:
-    """Fill nulls with the column's median."""
+    """Fill nulls with the column's median; cells marked as unreadable stay null."""
     medians = quantiles(df, {c: [0.5] for c in columns}, accuracy)
     return _fill(df, {c: v for (c, _), v in medians.items()})
 
@@ -53,7 +53,16 @@ def impute_categorical(df: DataFrame, columns: list[str] = CATEGORICAL) -> DataF
 
 def _fill(df: DataFrame, values: dict[str, object]) -> DataFrame:
     """Fill nulls; a column without any value has none to fill with and stays null."""
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in values.items()})
+    return df.withColumns(
+        {c: F.when(absent(df, c), F.lit(v)).otherwise(F.col(c)) for c, v in values.items()}
+    )
+
+
+def absent(df: DataFrame, c: str) -> Column:
+    """Nothing stood in the cell; it was not an unreadable one."""
+    if UNREADABLE not in df.columns:
+        return F.col(c).isNull()
+    return F.col(c).isNull() & ~F.array_contains(UNREADABLE, c)
 
 
 def drop_null_dates(df: DataFrame, columns: list[str] = DATES) -> DataFrame:

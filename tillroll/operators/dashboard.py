@@ -7,37 +7,45 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.dates import in_years
 from tillroll.functions.numeric import half_up, pct
-from tillroll.operators.reports import kpi_overall
 
 
 def kpi_cards(sales: DataFrame) -> DataFrame:
     """(kpi, value): the overall figures, the latest month and its growth, sales by region.
 
-    Months and regions are summed in the same pass.
+    The table is read once, into sums by region, month, order and customer; the whole,
+    months and regions are summed from those.
     """
-    overall = kpi_overall(sales)
-    overall = overall.select(*[F.col(c).cast("double").alias(c) for c in overall.columns]).unpivot(
-        [], list(overall.columns), "kpi", "value"
-    )
+    orders = sales.groupBy(
+        "region", F.date_format("order_date", "yyyy-MM").alias("month"), "order_id", "customer_id"
+    ).agg(*[F.sum(c).alias(c) for c in ("sales", "profit", "quantity")])
     # grouping_id has a bit set for every key that is summed over.
-    sums = (
-        sales.select("region", "sales", F.date_format("order_date", "yyyy-MM").alias("month"))
-        .groupingSets([["region"], ["month"]], "region", "month")
-        .agg(half_up(F.sum("sales")).alias("value"), F.grouping_id().alias("_set"))
-    )
+    level = F.grouping_id()
+    sums = orders.groupingSets([[], ["region"], ["month"]], "region", "month").agg(
+        level.alias("_set"),
+        F.count_distinct("order_id").alias("total_orders"),
+        F.count_distinct("customer_id").alias("total_customers"),
+        half_up(F.sum("sales")).alias("total_revenue"),
+        half_up(F.sum("profit")).alias("total_profit"),
+        F.sum("quantity").alias("total_units_sold"),
+        pct(F.sum("profit"), F.sum("sales")).alias("profit_margin_pct"),
+    ).withColumn("value", F.col("total_revenue"))
     by_month = Window.partitionBy("_set").orderBy(F.asc_nulls_first("month"))
     latest = F.max("month").over(Window.partitionBy("_set"))
     cards = sums.withColumns({"_previous": F.lag("value").over(by_month), "_latest": latest})
+    figures = [
+        F.struct(F.lit(c).alias("kpi"), F.col(c).cast("double").alias("value"))
+        for c in sums.columns if c.startswith("total_") or c == "profit_margin_pct"
+    ]
     region = F.struct(F.concat(F.lit("region_sales: "), "region").alias("kpi"), "value")
     month = F.struct(F.lit("latest_month_sales").alias("kpi"), "value")
     growth = F.struct(
         F.lit("latest_mom_growth_pct").alias("kpi"),
         pct(F.col("value") - F.col("_previous"), F.col("_previous")).alias("value"),
     )
-    parts = F.when((F.col("_set") == 0b01) & F.col("region").isNotNull(), F.array(region)).when(
-        (F.col("_set") == 0b10) & (F.col("month") == F.col("_latest")), F.array(month, growth)
-    )
-    return overall.unionByName(cards.select(F.inline(parts)))
+    parts = F.when(F.col("_set") == 0b11, F.array(*figures)).when(
+        (F.col("_set") == 0b01) & F.col("region").isNotNull(), F.array(region)
+    ).when((F.col("_set") == 0b10) & (F.col("month") == F.col("_latest")), F.array(month, growth))
+    return cards.select(F.inline(parts))
 
 
 DRILL = ["region", "category", "segment"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import half_even, ratio
 from tillroll.operators import cleaning
-from tillroll.schema import CATEGORICAL, NUMERIC
+from tillroll.schema import CATEGORICAL, DATES, NUMERIC, UNREADABLE
 from tillroll.staging import stage
 
 
@@ -25,7 +25,7 @@ def distinct_rows(df: DataFrame) -> DataFrame:
 
 def report_of_distinct(distinct: DataFrame, label: str) -> DataFrame:
     """The quality report of the table that ``distinct_rows`` was taken from."""
-    columns = [c for c in distinct.columns if c != COPIES]
+    columns = [c for c in distinct.columns if c not in (COPIES, UNREADABLE)]
     missing = [F.sum(F.when(F.col(c).isNull(), F.col(COPIES)).otherwise(0)) for c in columns]
     return distinct.agg(
         F.coalesce(F.sum(COPIES), F.lit(0)).alias("rows"),
@@ -55,6 +55,24 @@ def quality_report(df: DataFrame, label: str, duplicates: bool = True) -> DataFr
     return report.withColumn("duplicate_rows", F.lit(None).cast("bigint"))
 
 
+def unreadable_cells(marked: DataFrame) -> DataFrame:
+    """(column, cells): how many cells of each number and date column could not be read."""
+    return unreadable_of_distinct(marked.withColumn(COPIES, F.lit(1)))
+
+
+def unreadable_of_distinct(distinct: DataFrame) -> DataFrame:
+    """The unreadable cells of the table that ``distinct_rows`` was taken from."""
+    found = [
+        F.coalesce(F.sum(F.when(F.array_contains(UNREADABLE, c), F.col(COPIES))), F.lit(0))
+        for c in DATES + NUMERIC
+    ]
+    table = [
+        F.struct(F.lit(c).alias("column"), n.alias("cells"))
+        for c, n in zip(DATES + NUMERIC, found, strict=True)
+    ]
+    return distinct.agg(F.array(*table).alias("_table")).select(F.inline("_table"))
+
+
 def missing_by_column(report: DataFrame) -> DataFrame:
     """A quality report's missing values as (stage, column, missing) rows."""
     return report.select("stage", F.explode("missing_per_col").alias("column", "missing"))
@@ -78,12 +96,16 @@ def quality_summary(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def cleaning_audit(raw: DataFrame, k: float = 3.0) -> DataFrame:
-    """(step, column, affected): what each cleaning step finds to change, in step order.
+    """(step, column, affected): what each cleaning step finds to change, in step order."""
+    return audit_of_distinct(stage(distinct_rows(raw), "unique"), k)
+
+
+def audit_of_distinct(unique: DataFrame, k: float = 3.0) -> DataFrame:
+    """The audit of the table that ``distinct_rows`` was taken from.
 
-    The distinct rows are staged once; one aggregate over them counts every step.
+    ``unique`` should be staged: besides the statistics, one aggregate over it counts every step.
     """
-    unique = stage(distinct_rows(raw), "unique")
-    absent = {f"_no_{c}": F.col(c).isNull() for c in NUMERIC + CATEGORICAL}
+    absent = {f"_no_{c}": cleaning.absent(unique, c) for c in NUMERIC + CATEGORICAL}
     lines = cleaning.impute_numeric(unique.withColumns(absent), ["sales"])
     kept = cleaning.drop_nonpositive_sales(cleaning.drop_null_dates(lines))
     lower, upper = cleaning.sales_bounds(kept, k)

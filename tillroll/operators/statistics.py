@@ -33,7 +33,7 @@ def value_counts(long: DataFrame) -> DataFrame:
 
 def _numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     doubles = {c: F.col(c).cast("double") for c in columns}
-    return df.select(*[F.when(~F.isnan(x), x).alias(c) for c, x in doubles.items()])
+    return df.select(*[F.when(F.abs(x) < inf, x).alias(c) for c, x in doubles.items()])
 
 
 def quantiles(
@@ -42,7 +42,7 @@ def quantiles(
     """{(column, q): value}, interpolated linearly between neighbouring values.
 
     Exact unless ``accuracy`` asks for Spark's sketch alone. A column without
-    values has no entry.
+    values has no entry; infinities and NaN are no values.
     """
     numbers = _numbers(df, list(wanted))
     if accuracy is not None:

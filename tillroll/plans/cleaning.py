@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.operators import cleaning, quality
+from tillroll.schema import UNREADABLE
 from tillroll.sources.files import read_raw, read_table, write_table
-from tillroll.staging import stage
+from tillroll.staging import stage, temporary
 
 
 def clean_sales(raw: DataFrame, k: float = 3.0, accuracy: int | None = None) -> DataFrame:
@@ -34,6 +37,7 @@ def clean_distinct(
         .transform(cleaning.cap_outliers, k=k, accuracy=accuracy)
         .transform(cleaning.drop_inverted_dates)
         .transform(cleaning.add_derived)
+        .drop(UNREADABLE)
     )
 
 
@@ -52,10 +56,52 @@ def summarise(cleaned: DataFrame, before: DataFrame) -> DataFrame:
     return quality.quality_summary(before, after)
 
 
+class CleaningRun(NamedTuple):
+    """What a run reports; a few rows each."""
+
+    summary: DataFrame
+    before: DataFrame  # quality reports
+    after: DataFrame
+    audit: DataFrame  # what each step changed
+    unreadable: DataFrame  # cells that could not be read, by column
+
+
 def run_cleaning(
-    spark: SparkSession, source: str, target: str, format: str = "parquet"
-) -> DataFrame:
-    """Clean a raw CSV file into ``target`` and return the before/after summary."""
-    cleaned, before = clean_with_report(read_raw(spark, source))
-    write_table(cleaned, target, format)
-    return summarise(read_table(spark, target, format), before)
+    spark: SparkSession,
+    source: str,
+    target: str,
+    format: str = "parquet",
+    k: float = 3.0,
+    unreadable: str = "raise",
+) -> CleaningRun:
+    """Clean a raw CSV file into ``target`` and report on it.
+
+    Cells that hold something other than a number or date: ``raise`` stops before anything is
+    cleaned and says how many there are; ``keep`` leaves numbers null in the cleaned
+    table; ``fill`` treats them as missing, so numbers get the median. Lines without a
+    readable date are dropped by both, as lines without a date are. The raw rows are
+    shuffled once, and the copy of them is deleted at the end.
+    """
+    if unreadable not in ("raise", "keep", "fill"):
+        raise ValueError(f"unreadable must be 'raise', 'keep' or 'fill', not {unreadable!r}")
+    with temporary(spark):
+        raw = cleaning.rename_columns(read_raw(spark, source, unreadable="mark"))
+        distinct = stage(quality.distinct_rows(raw), "unique")
+        lost = _small(quality.unreadable_of_distinct(distinct))
+        counts = {r["column"]: r["cells"] for r in lost.collect() if r["cells"]}
+        if counts and unreadable == "raise":
+            raise ValueError(f"cells that cannot be read, by column: {counts}")
+        if unreadable == "fill":
+            distinct = distinct.drop(UNREADABLE)
+        cleaned = clean_distinct(distinct.drop(quality.COPIES), k)
+        write_table(cleaned, target, format)
+        before = _small(quality.report_of_distinct(distinct, "RAW"))
+        after = _small(quality.quality_report(read_table(spark, target, format), "CLEANED"))
+        audit = _small(quality.audit_of_distinct(distinct, k))
+        summary = _small(quality.quality_summary(before, after))
+    return CleaningRun(summary, before, after, audit, lost)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A report of a few rows, by its values, so that the tables it came from can go."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.schema import DATES, EXPECTED_COLUMNS, NUMERIC, RAW, RENAMES, SALES
+from tillroll.schema import DATES, EXPECTED_COLUMNS, NUMERIC, RAW, RENAMES, SALES, UNREADABLE
 
 # The texts that stand for a missing value in a raw file.
 MISSING = [
@@ -13,8 +13,9 @@ MISSING = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-# Date spellings tried after ISO dates.
+# Date spellings tried after ISO dates, each with or without a time of day.
 DATE_FORMATS = ("M/d/yyyy", "M-d-yyyy", "yyyy/M/d")
+_TIMES = "[ H:mm[:ss]]"
 
 
 def check_columns(df: DataFrame, expected: list[str] = EXPECTED_COLUMNS) -> DataFrame:
@@ -27,17 +28,54 @@ def check_columns(df: DataFrame, expected: list[str] = EXPECTED_COLUMNS) -> Data
 
 def parse_date(x: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
     """A date from text; null when no format fits."""
-    parsed = [F.try_to_timestamp(x, F.lit(f)).cast("date") for f in formats]
+    parsed = [F.try_to_timestamp(x, F.lit(f + _TIMES)).cast("date") for f in formats]
     return F.coalesce(x.try_cast("date"), *parsed)
 
 
+def typed(
+    df: DataFrame, date_formats: tuple[str, ...] = DATE_FORMATS, unreadable: str = "raise"
+) -> DataFrame:
+    """Text columns as numbers and dates where RAW says so; missing texts become null.
+
+    A cell is unreadable if it is not missing and yet no number (infinities count as none) or
+    date. ``raise`` ends the job that reads such a cell, with its column and text; ``mark``
+    makes it null and adds the column ``UNREADABLE``, the names of a line's unreadable columns.
+    """
+    if unreadable not in ("raise", "mark"):
+        raise ValueError(f"unreadable must be 'raise' or 'mark', not {unreadable!r}")
+    df = df.withColumns(
+        {c: F.when(~F.col(f"`{c}`").isin(MISSING), F.col(f"`{c}`")) for c in df.columns}
+    )
+    cells, marks = {}, []
+    for header in df.columns:
+        name = RENAMES.get(header, header)
+        text = F.col(f"`{header}`")
+        if name in NUMERIC:
+            number = F.trim(text).try_cast("double")
+            cell = F.when(F.abs(number) < float("inf"), number)
+        elif name in DATES:
+            cell = parse_date(F.trim(text), date_formats)
+        else:
+            continue
+        bad = text.isNotNull() & cell.isNull()
+        if unreadable == "raise":
+            message = F.concat(F.lit(f"unreadable {name}: "), text)
+            cell = F.when(bad, F.raise_error(message).cast(RAW[name].dataType)).otherwise(cell)
+        cells[header] = cell
+        marks.append(F.when(bad, F.lit(name)))
+    if unreadable == "mark":
+        cells[UNREADABLE] = F.array_compact(F.array(*marks)).cast("array<string>")
+    return df.withColumns(cells)
+
+
 def read_raw(
     spark: SparkSession,
     path: str,
     date_formats: tuple[str, ...] = DATE_FORMATS,
     multi_line: bool = False,
+    unreadable: str = "raise",
 ) -> DataFrame:
-    """A raw CSV file with its own header names; unreadable numbers and dates become null.
+    """A raw CSV file with its own header names, numbers and dates parsed (see ``typed``).
 
     Only the header is read up front, so no pass over the file infers types. Set
     ``multi_line`` when quoted fields hold line breaks; such files cannot be split.
@@ -48,18 +86,7 @@ def read_raw(
         .option("multiLine", multi_line)
         .csv(path)
     )
-    check_columns(df)
-    df = df.withColumns(
-        {c: F.when(~F.col(f"`{c}`").isin(MISSING), F.col(f"`{c}`")) for c in df.columns}
-    )
-    typed = {}
-    for header, name in RENAMES.items():
-        if name in NUMERIC:
-            number = F.col(f"`{header}`").try_cast("double")
-            typed[header] = F.when(~F.isnan(number), number)
-        elif name in DATES:
-            typed[header] = parse_date(F.col(f"`{header}`"), date_formats)
-    return df.withColumns(typed)
+    return typed(check_columns(df), date_formats, unreadable)
 
 
 def write_table(

@@ -9,11 +9,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _private: dict[str, str] = {}  # the temporary folder of each local application
+_written: list[list[str]] = []  # what each open ``temporary`` has staged
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -35,7 +38,21 @@ def _application_folder(spark: SparkSession) -> str:
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
-    return f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was staged inside; tables read from it are gone then."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            _delete(spark, path)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -47,6 +64,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete everything this application has staged; tables read from it are gone too."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    _delete(spark, _application_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.delete(folder, True)
