@@ -121,6 +121,15 @@ def test_every_word_is_packed_once(spark):
     assert pack_documents(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_shards_stay_small_when_texts_are_short(spark):
+    rows = [(i, "" if i % 3 else f"w{i}", "hot" if i % 2 else "b", 1, 1) for i in range(600)]
+    got = pack_documents(spark.createDataFrame(rows, DOCS), shard_pieces=100).toPandas()
+    assert sorted(got["doc_id"]) == list(range(600))
+    assert (got["bin_id"] // (1 << 32)).value_counts().between(40, 180).all()
+    named = got[got["source"] == "hot"]
+    assert not named.duplicated(["bin_id"]).any() and not got.duplicated(["bin_id", "cluster"]).any()
+
+
 TALKS = "conv_id long, turn long, role string, text string, window int, tokens int"
 
 

@@ -6,7 +6,8 @@ that is large enough the search goes on to its successors until one is compatibl
 
 Documents over the capacity are cut; full pieces have a bin of their own. Pieces are dealt to
 shards by a hash, so sources, clusters and long documents spread evenly; the number of
-shards follows the number of words, which keeps every shard near ``SHARD_BINS`` bins.
+shards follows the words and the pieces, which keeps every shard near ``SHARD_BINS`` bins' worth
+of words and ``SHARD_PIECES`` pieces, however short texts are.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from tillroll.staging import stage
 
 CAPACITY = 2048
 SHARD_BINS = 512
+SHARD_PIECES = 16_384
 
 _RESULT = (
     "bin_id long, slot int, doc_id long, piece int, first_word long, n_words long, source string, cluster long"
@@ -104,6 +106,7 @@ def pack_documents(
     source_col: str = "source",
     capacity: int = CAPACITY,
     shard_bins: int = SHARD_BINS,
+    shard_pieces: int = SHARD_PIECES,
 ) -> DataFrame:
     """Rows ``bin_id, slot, doc_id, piece, first_word, n_words, source, cluster``: every word of every
     document once.
@@ -124,8 +127,9 @@ def pack_documents(
     cut = cut.withColumn("first_word", first).withColumn(
         "n_words", F.least(F.col("total") - F.col("first_word"), F.lit(capacity).cast("long"))
     )
-    total = counted.agg(F.sum("total")).first()[0] or 0
-    shards = max(1, -(-total // (capacity * shard_bins)))
+    each = F.greatest(F.ceil(F.col("total") / capacity), F.lit(1))
+    total, cuts = (n or 0 for n in counted.agg(F.sum("total"), F.sum(each)).first())
+    shards = max(1, -(-total // (capacity * shard_bins)), -(-cuts // shard_pieces))
     spread = F.xxhash64("doc_id", "piece", "cluster")
     dealt = cut.withColumn("shard", F.pmod(spread, F.lit(shards)).cast("long")).drop("total")
     return dealt.groupBy("shard").applyInPandas(_pack_shard(capacity), _RESULT)
