@@ -161,6 +161,20 @@ def test_edit_distance(a, b):
     assert passages._edits(a, b) == row[-1]
 
 
+def test_one_passage_in_every_document(spark, monkeypatch):
+    """Seeds and texts with a large share of all rows, in lots of a few."""
+    monkeypatch.setattr(passages, "LOT", 4)
+    rng = random.Random(5)
+    shared = [f"{rng.randrange(10**9)}" for _ in range(70)]
+    rows = [
+        (i, " ".join([*(f"{rng.randrange(10**9)}" for _ in range(i % 50)), *shared]), 1, "", 1) for i in range(120)
+    ]
+    for hot in (2, 10**9):  # few hot ones, and nothing that is not
+        monkeypatch.setattr(passages, "HOT", hot)
+        got = sorted((r.doc_id, r.first_word, r.end_word, r.partner_id) for r in repeated_passages(spark.createDataFrame(rows, DOCS)).collect())
+        assert got == [(i, i % 50, i % 50 + 70, 0) for i in range(1, 120)]
+
+
 def test_passages_are_found_with_their_places(spark):
     rng = random.Random(3)
     fresh = lambda n: [f"{rng.randrange(10**9)}" for _ in range(n)]
