@@ -5,9 +5,13 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline
 from tests.conftest import SMALL
-from tillroll.llm.decontaminate import drop_contaminated, find_leaks
+from tillroll.llm import decontaminate
+from tillroll.llm.decontaminate import BenchmarkIndex, drop_contaminated, find_leaks
 from tillroll.llm.language import languages, learn_languages
 from tillroll.llm.quality import learn_quality, quality_scores
 from tillroll.llm.secret_scan import find_secrets, mask_secrets, text_spans
@@ -52,6 +56,21 @@ def test_leaks_exact_edited_and_partial(spark):
     assert find_leaks(docs, benchmark.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("hits", [3_000, 50_000])
+def test_leaks_do_not_depend_on_the_hits_looked_at_together(monkeypatch, hits):
+    rng = random.Random(2)
+    common = "the same few words again "
+    items = [(i, sentence(rng, 12) + " " + common * 3 + sentence(rng, 12)) for i in range(8)]
+    items.append((8, "ab" * 100))
+    texts = [sentence(rng, 9) + common * n + text + " " + common * 2 for n, (_, text) in enumerate(items)]
+    texts += [common * 40, "ab" * 700, "abababab", "", None, " ".join(texts)]
+    column, index = pa.array(texts), BenchmarkIndex(items)
+    want = index.leaks(column)
+    assert [set(x) for x in want[:9]] == [{i} for i in range(9)] and set(want[-1]) == set(range(9))
+    monkeypatch.setattr(decontaminate, "HITS", hits)
+    assert index.leaks(column) == want
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 

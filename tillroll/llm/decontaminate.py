@@ -24,10 +24,12 @@ Q = 8
 WINDOW = 96
 EDITS = 0.1
 LEAST = 32  # shorter items say too little and are left out
-BLOCK = 4 << 20  # bytes of benchmark text looked up in one pass over the documents
+BLOCK = 1 << 20  # bytes of benchmark text looked up in one pass over the documents
+HITS = 2 << 20  # q-gram hits looked at together
 
 _STEP = int(WINDOW * EDITS) + 1  # diagonals between the starts of bands
 _WIDTH = 2 * _STEP
+_SPAN = WINDOW + _WIDTH  # bytes of a text that hold all hits of a band
 _ORIGIN = WINDOW + _STEP  # diagonals are counted from one strip before the first possible one
 _FILTER = 22  # bits of the table that rules out most q-grams
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -99,21 +101,41 @@ class BenchmarkIndex:
     def _slot(grams: np.ndarray) -> np.ndarray:
         return ((grams * _SPREAD) >> np.uint64(64 - _FILTER)).astype(np.int64)
 
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in the text and entries of the index that have the same q-gram."""
+    def shared(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in the text whose q-gram the windows hold too, and its row in the index."""
         at = np.flatnonzero(self.likely[self._slot(grams)])
         row = np.searchsorted(self.grams, grams[at])
         row[row == len(self.grams)] = 0
         same = self.grams[row] == grams[at]
-        at, row = at[same], row[same]
+        return at[same], row[same]
+
+    def candidates(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Text number, window and band of every band with enough q-grams.
+
+        Positions are worked off in runs of some ``HITS`` hits. The hits of a band stand within
+        ``_SPAN`` bytes, and every run looks that far beyond its end, so the run in which a band
+        begins sees all of it.
+        """
+        at, row = self.shared(_grams(text))
+        upto = np.cumsum(self.first[row + 1] - self.first[row])
+        runs = [np.zeros((0, 3), dtype=np.int64)]
+        begin = 0
+        while begin < len(at):
+            before = upto[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(upto, before + HITS, side="right")))
+            beyond = int(np.searchsorted(at, at[end - 1] + _SPAN, side="right"))
+            runs.append(self._full_bands(at[begin:beyond], row[begin:beyond], starts))
+            begin = end if beyond < len(at) else len(at)
+        found = np.concatenate(runs)
+        if len(runs) > 2:
+            found = np.unique(found, axis=0)
+        return found[:, 0], found[:, 1], found[:, 2]
+
+    def _full_bands(self, at: np.ndarray, row: np.ndarray, starts: np.ndarray) -> np.ndarray:
         counts = self.first[row + 1] - self.first[row]
         begin = np.cumsum(counts) - counts
         entry = np.arange(counts.sum()) - np.repeat(begin - self.first[row], counts)
-        return np.repeat(at, counts), entry
-
-    def candidates(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Text number, window and band of every band with enough q-grams."""
-        at, entry = self.hits(_grams(text))
+        at = np.repeat(at, counts)
         doc = np.searchsorted(starts, at, side="right") - 1
         window = self.window[entry]
         diagonal = at - starts[doc] - self.place[entry] + _ORIGIN
@@ -133,7 +155,7 @@ class BenchmarkIndex:
         pair = low // bands
         window = pair % len(self.sizes)
         enough = total >= self.needed[window]
-        return pair[enough] // len(self.sizes), window[enough], (low % bands)[enough]
+        return np.stack([pair // len(self.sizes), window, low % bands], axis=1)[enough]
 
     def distances(self, text, starts, doc, window, band) -> np.ndarray:
         """Least edits between each window and a part of the text, inside its band."""
