@@ -6,6 +6,7 @@ from checks import (
     oracle_cleaning,
     oracle_eda,
     oracle_forecast,
+    oracle_models,
     oracle_reports,
     query_cleaning,
     query_eda,
@@ -24,4 +25,5 @@ ORACLES = {
     **oracle_cleaning.ORACLES,
     **oracle_eda.ORACLES,
     **oracle_forecast.ORACLES,
+    **oracle_models.ORACLES,
 }

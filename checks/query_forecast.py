@@ -15,14 +15,21 @@ CURRENT, PRIOR = 2000, 1999
 # Averages of doubles differ in the last digits with the order of addition.
 ROUNDED = {
     "avg_discount": 9, "avg_quantity": 9, "avg_profit_margin": 6, "rolling_3avg": 4,
-    "r2": 9, "mae": 4, "rmse": 4,
+    "r2": 9, "mae": 4, "rmse": 4, "cv_r2": 9, "predicted": 4, "residual": 4, "lowest": 4, "highest": 4,
+    "importance": 4, "forecast": 1, "lower": 1, "upper": 1,
 }
+# Inputs that hold their own sum cost least squares some digits.
+COARSE = ROUNDED | {"r2": 7, "mae": 2, "rmse": 2, "cv_r2": 7, "predicted": 0, "residual": 0}
 MEASURES = ["total_sales", "avg_discount", "order_count", "avg_quantity", "avg_profit_margin"]
 
 
-def _shown(df: DataFrame, *columns: str) -> DataFrame:
+def _shown(df: DataFrame, *columns: str, places: dict[str, int] = ROUNDED) -> DataFrame:
     names = columns or df.columns
-    return df.select(*[F.round(c, ROUNDED[c]).alias(c) if c in ROUNDED else c for c in names])
+    return df.select(*[F.round(c, places[c]).alias(c) if c in places else c for c in names])
+
+
+def _places(model: str) -> dict[str, int]:
+    return COARSE if model == forecast.LINEAR else ROUNDED
 
 
 def _scaled(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,7 +62,15 @@ def _all(spark, folder, folds=False) -> list[Fitted]:
 
 
 def _predictions(name):
-    return lambda spark, folder: forecast.residuals(fitted(spark, folder, name).predicted)
+    return lambda spark, folder: _shown(
+        forecast.residuals(fitted(spark, folder, name).predicted), places=_places(name)
+    )
+
+
+def _quality(name):
+    return lambda spark, folder: _shown(
+        forecast.comparison([fitted(spark, folder, name, True)]), places=_places(name)
+    )
 
 
 def _of_best(table):
@@ -87,6 +102,14 @@ QUERIES = {
     "forecast_linear": _predictions(forecast.LINEAR),
     "forecast_ridge": _predictions(forecast.RIDGE),
     "forecast_gbt": _predictions(forecast.BOOSTED),
+    "forecast_linear_quality": _quality(forecast.LINEAR),
+    "forecast_ridge_quality": _quality(forecast.RIDGE),
+    "forecast_ridge_line": lambda spark, folder: _shown(
+        forecast.perfect_line(fitted(spark, folder, forecast.RIDGE).predicted)
+    ),
+    "forecast_ridge_importance": lambda spark, folder: _shown(
+        forecast.importance(fitted(spark, folder, forecast.RIDGE), spark)
+    ),
     "forecast_residuals": _of_best(lambda best: forecast.residuals(best.predicted)),
     "forecast_perfect_line": _of_best(lambda best: forecast.perfect_line(best.predicted)),
     "forecast_importance": _of_best(
@@ -99,8 +122,8 @@ QUERIES = {
     "forecast_summary": lambda spark, folder: forecast.summary(
         forecast.best_of(_all(spark, folder, True))
     ),
-    "forecast_bands": lambda spark, folder: forecast.forecast_bands(
-        scaled_matrix(spark, folder)
+    "forecast_bands": lambda spark, folder: _shown(
+        forecast.forecast_bands(scaled_matrix(spark, folder))
     ),
     "kpi_cards": _on_sales(dashboard.kpi_cards),
     "kpi_drill_cube": _on_sales(dashboard.drill_through),

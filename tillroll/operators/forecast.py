@@ -65,7 +65,9 @@ def estimators(boosting: dict = BOOSTING) -> dict[str, Estimator]:
     """The models compared: the linear ones on scaled features, boosting on raw ones."""
     return {
         LINEAR: LinearRegression(
-            featuresCol="scaled", labelCol=TARGET, regParam=0.0, solver="normal"
+            featuresCol="scaled", labelCol=TARGET, regParam=0.0, solver="normal",
+            # The inputs hold their own sum, so Spark goes on from the sums of products step by step.
+            maxIter=1000, tol=1e-14,
         ),
         RIDGE: RidgeRegression(alpha=ALPHA, featuresCol="scaled", labelCol=TARGET),
         BOOSTED: GBTRegressor(
@@ -195,9 +197,10 @@ def importance(fitted: Fitted, spark: SparkSession) -> DataFrame:
     )
 
 
-# Inputs known before a month begins; its own orders and discounts are not.
+# Inputs known before a month begins; its own orders and discounts are not. The rolling mean adds
+# nothing to the three lags it is the mean of, and without it the sums of products can be inverted.
 KNOWN_AHEAD = [
-    c for c in FEATURES if c not in ("avg_discount", "order_count", "avg_quantity")
+    c for c in FEATURES if c not in ("avg_discount", "order_count", "avg_quantity", "rolling_3avg")
 ]
 
 
