@@ -191,3 +191,19 @@ def test_passages_are_found_with_their_places(spark):
     assert (got[4].first_word, got[4].end_word, got[4].partner_id, got[4].partner_first, got[4].similarity) == (7, 87, 2, 200, 1.0)
     assert (got[7].first_word, got[7].end_word, got[7].partner_first, got[7].partner_end) == (0, 80, 200, 280)
     assert got[15].partner_id == 13 and got[15].end_word - got[15].first_word >= 90 and 0.9 < got[15].similarity < 1
+
+
+def test_long_copies_that_drift(spark):
+    """Ten insertions early and ten deletions late: the middle is shifted by a hundred words."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"{rng.randrange(10**9)}" for _ in range(n)]
+    text, other = fresh(2000), []
+    for i, w in enumerate(text):
+        if i < 500 and i % 50 == 20:
+            other += fresh(10)
+        if i < 1500 or not 20 <= i % 50 < 30:
+            other.append(w)
+    rows = [(1, " ".join(text), 1, "", 1), (2, " ".join(other), 1, "", 1)]
+    (got,) = repeated_passages(spark.createDataFrame(rows, DOCS)).collect()
+    assert (got.first_word, got.end_word, got.partner_first, got.partner_end) == (0, 2000, 0, 2000)
+    assert got.similarity >= 0.9
