@@ -207,3 +207,23 @@ def test_long_copies_that_drift(spark):
     (got,) = repeated_passages(spark.createDataFrame(rows, DOCS)).collect()
     assert (got.first_word, got.end_word, got.partner_first, got.partner_end) == (0, 2000, 0, 2000)
     assert got.similarity >= 0.9
+
+
+def test_edited_passages_near_the_least_length(spark):
+    """Substitutions, insertions and deletions in passages of 55 to 80 words between unrelated ones."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"{rng.randrange(10**9)}" for _ in range(n)]
+    rows, cells = [], {}
+    for size, share in [(60, 0.05), (60, 0.1), (80, 0.1)]:
+        for _ in range(100):
+            shared, edited = fresh(size), []
+            for w in shared:
+                kind = rng.randrange(3) if rng.random() < share else 3
+                edited += [fresh(1), [w, *fresh(1)], [], [w]][kind]
+            n = len(rows)
+            rows += [(n + k, " ".join([*fresh(60), *w, *fresh(60)]), 1, "", 1) for k, w in enumerate((shared, edited))]
+            cells[n + 1] = (size, share)
+    found = {r.doc_id for r in repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    lost = {cell: sum(c == cell and n not in found for n, c in cells.items()) for cell in set(cells.values())}
+    print(lost)
+    assert lost[60, 0.05] <= 2 and lost[60, 0.1] <= 8 and lost[80, 0.1] <= 2
