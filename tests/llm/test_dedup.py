@@ -227,3 +227,36 @@ def test_edited_passages_near_the_least_length(spark):
     lost = {cell: sum(c == cell and n not in found for n, c in cells.items()) for cell in set(cells.values())}
     print(lost)
     assert lost[60, 0.05] <= 2 and lost[60, 0.1] <= 8 and lost[80, 0.1] <= 2
+
+
+def test_passages_of_common_lines(spark):
+    """Verbatim passages whose lines, and most pairs of lines, stand earlier in other texts."""
+    rng = random.Random(13)
+    fresh = lambda n: [f"{rng.randrange(10**9)}" for _ in range(n)]
+    lines = [fresh(20) for _ in range(12)]
+    texts = [[*fresh(9), *line, *fresh(9)] for line in lines]
+    texts += [[*fresh(9), *a, *b, *fresh(9)] for a in lines for b in lines if a is not b]
+    firsts = len(texts)
+    for _ in range(60):
+        shared = sum(rng.sample(lines, 3), [])
+        texts += [[*fresh(40), *shared, *fresh(40)], [*fresh(30), *shared]]
+    size = passages.LEAST + passages.SPAN - 1
+    runs: dict[tuple, set[int]] = {}
+    for n, text in enumerate(texts):
+        for i in range(len(text) - size + 1):
+            runs.setdefault(tuple(text[i : i + size]), set()).add(n)
+    links = {(min(r), n) for r in runs.values() for n in r if n != min(r)}
+    assert len(links) >= 60 and min(links)[0] >= firsts
+    rows = [(n, " ".join(text), 1, "", 1) for n, text in enumerate(texts)]
+    got = {(r.partner_id, r.doc_id) for r in repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert links <= got
+    assert got <= {(a, b) for a, b in got if len(set(texts[a]) & set(texts[b])) >= 40}
+
+
+def test_numbers_of_runs():
+    ids = np.random.default_rng(1).integers(0, 3, 200).astype(np.uint64)
+    for size in (1, 3, 16, 50, 200, 201):
+        got = passages._runs(ids, size)
+        known = [tuple(ids[i : i + size].tolist()) for i in range(200 - size + 1)]
+        assert len(set(zip(known, got.tolist()))) == len(set(known)) == len(set(got[: len(known)].tolist()))
+        assert not got[len(known) :].any()
