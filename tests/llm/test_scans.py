@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -13,7 +14,7 @@ from tests.conftest import SMALL
 from tillroll.llm import decontaminate
 from tillroll.llm.decontaminate import BenchmarkIndex, drop_contaminated, find_leaks
 from tillroll.llm.language import languages, learn_languages
-from tillroll.llm.quality import learn_quality, quality_scores
+from tillroll.llm.quality import learn_quality, quality_scores, text_features
 from tillroll.llm.secret_scan import find_secrets, mask_secrets, text_spans
 
 DOCS = "doc_id long, text string, id int, spans string, lang string"
@@ -117,6 +118,19 @@ def test_quality_is_learned(spark):
     assert scores.where("score < 0 or score > 1 or score is null").count() == 0
 
 
+def test_quality_statistics_cover_all_labelled_rows(spark):
+    """A sample of a few rows only serves the weights."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = learn_quality(docs, labels, sample=20)
+    rows = docs.join(labels.where("quality in (0, 1)"), "doc_id").where("crc32(cast(doc_id as string)) % 5 != 0").toPandas()
+    assert rows["doc_id"].is_unique and (rows["quality"] == 1).sum() > 20
+    features = text_features(pa.array(rows["text"]))
+    assert np.allclose(model.centre, features.mean(axis=0), atol=1e-9)
+    assert np.allclose(model.spread, features.std(axis=0) + 1e-6, rtol=1e-4, atol=1e-7)
+    strength, bad = np.sort(model.strengths(features)), (rows["quality"] == 0).sum()
+    assert np.isclose(model.threshold, (strength[bad - 1] + strength[bad]) / 2)
+
+
 def test_quality_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 1, "", ""), (None, "x", 1, "", ""), (1, "", 1, "", "")], DOCS)
     labels = spark.createDataFrame([(1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")

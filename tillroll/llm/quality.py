@@ -8,7 +8,9 @@ strengths that leaves the labelled share of bad documents below it; scores are m
 that this strength becomes ``CUT``.
 
 ``SAMPLE`` bounds the labelled rows of each class that the weights are fitted on (those
-with the smallest hash of their id). Everything else covers all rows.
+with the smallest hash of their id). Centre, spread and threshold are those of all labelled
+rows, by exact sums and an exact quantile; the properties of the documents that may be
+labelled are written once as numbers.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.words import SPACE, group_sums, pieces, words
+from tillroll.operators.statistics import quantiles
+from tillroll.staging import stage
 
 CUT = 0.3
 SAMPLE = 10_000
@@ -172,46 +176,52 @@ def learn_quality(
         .where("share != 0.5")
         .select("id", (F.col("share") > 0.5).alias("good"))
     )
-    shares = {r["good"]: r["n"] for r in votes.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
     none = QualityModel(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES)), -0.5)
     none.threshold = math.log(CUT / (1 - CUT))  # a score of one half
-    if len(shares) < 2:
-        return none
-    order = [F.xxhash64("id"), F.col("id")]
-    chosen = votes.where("good").orderBy(*order).limit(sample).union(
-        votes.where(~F.col("good")).orderBy(*order).limit(sample)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(
+        F.col("id").isNotNull() & (_remainder("id", folds) != 0)
     )
-    # At most two times ``sample`` narrow rows, so the side is small however large the tables are.
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def scan(batches):
         for part in pieces(batches):
             rows = text_features(part.column("text"))
             flat = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1])
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), part.column("good"), flat.cast(pa.list_(pa.float64()))],
-                names=["id", "good", "features"],
+                [part.column("id"), flat.cast(pa.list_(pa.float64()))], names=["id", "features"]
             )
 
-    seen = texts.join(F.broadcast(chosen), "id").mapInArrow(scan, "id long, good boolean, features array<double>")
+    # Texts stay where they are read; only their properties meet the labels.
+    seen = texts.mapInArrow(scan, "id long, features array<double>").join(votes, "id")
     # One row of an id, should documents repeat it.
-    table = seen.groupBy("id").agg(F.first("good").alias("good"), F.min("features").alias("features"))
-    found = table.orderBy("id").toPandas()
+    table = stage(seen.groupBy("id").agg(F.first("good").alias("good"), F.min("features").alias("features")), "labelled")
+    # Decimal sums do not depend on the order of the rows.
+    values = [F.col("features")[k] for k in range(len(FEATURES))]
+    sums = [F.sum(v.cast("decimal(28,12)")) for x in values for v in (x, x * x)]
+    n, good, *moments = table.agg(F.count(F.lit(1)), F.count(F.when(F.col("good"), 1)), *sums).first()
+    if not 0 < good < n:
+        return none
+    first, second = (np.array([float(m) / n for m in moments[k::2]]) for k in range(2))
+    centre, spread = first, np.sqrt(np.maximum(second - first**2, 0)) + 1e-6
+    order = [F.xxhash64("id"), F.col("id")]
+    chosen = table.where("good").orderBy(*order).limit(sample).union(
+        table.where(~F.col("good")).orderBy(*order).limit(sample)
+    )
+    found = chosen.orderBy("id").toPandas()
     x = np.array(found["features"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     y = found["good"].to_numpy(dtype=bool)
-    if y.all() or not y.any():
-        return none
-    centre, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
     model = QualityModel(centre, spread, np.zeros(x.shape[1]), 0.0)
     scaled = np.clip((x - centre) / spread, -8, 8)
     model.weights = _fit_weights(scaled[y], scaled[~y])
-    strength = model.strengths(x)
-    weight = np.where(y, shares[True] / y.sum(), shares[False] / (~y).sum())
-    order = np.argsort(strength, kind="stable")
-    below = np.cumsum(weight[order]) / weight.sum()
-    at = int(np.searchsorted(below, shares[False] / (shares[True] + shares[False]) - 1e-9))
-    low, high = strength[order[at]], strength[order[min(at + 1, len(order) - 1)]]
-    model.threshold = float((low + high) / 2)
+
+    def strong(batches):
+        for batch in batches:
+            features = batch.column("features").flatten().to_numpy().reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([pa.array(model.strengths(features))], names=["strength"])
+
+    strengths = stage(table.select("features").mapInArrow(strong, "strength double"), "strengths")
+    # Half-way between the last of as many strengths as there are bad documents and the next one.
+    at = (n - good - 0.5) / (n - 1)
+    model.threshold = float(quantiles(strengths, {"strength": [at]})["strength", at])
     return model
 
 
