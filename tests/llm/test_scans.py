@@ -72,6 +72,22 @@ def test_leaks_do_not_depend_on_the_hits_looked_at_together(monkeypatch, hits):
     assert index.leaks(column) == want
 
 
+def test_leaks_of_any_place_in_an_item():
+    """Quotations of the guaranteed length, wherever they begin."""
+    rng = random.Random(3)
+    size = decontaminate.WINDOW + decontaminate.APART - 1
+    (item,) = (sentence(rng, 60),)
+    texts = [sentence(rng, 9) + " " + item[i : i + size] + " " + sentence(rng, 9) for i in range(len(item) - size + 1)]
+    assert all(x == {5: 0} for x in BenchmarkIndex([(5, item)]).leaks(pa.array(texts)))
+
+
+def test_short_items_are_whole_strings():
+    items = [(1, "Yes!"), (2, "seven times eight"), (3, "a b"), (4, " . "), (5, "yes")]
+    texts = ["yes", "yesterday", "so yes, seven  times EIGHT", "seven times eighty", "x a", "b c", "seventy times eight", None, "b a b"]
+    got = [set(x) for x in BenchmarkIndex(items).leaks(pa.array(texts))]
+    assert got == [{1, 5}, set(), {1, 2, 5}, set(), set(), set(), set(), set(), {3}]
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 

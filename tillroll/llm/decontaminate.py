@@ -1,8 +1,9 @@
 """Benchmark passages in documents: q-gram counts in diagonal bands, then banded alignment.
 
 Texts are lower-cased; every run of other bytes than letters and digits is one space.
-Benchmark items are cut into windows of ``WINDOW`` bytes, half a window apart; a shorter item
-is one window. A document holds a window if part of it is at most ``EDITS`` of the window's
+Benchmark items are cut into windows of ``WINDOW`` bytes, ``APART`` bytes apart, so any
+``WINDOW + APART - 1`` bytes of an item hold one; a shorter item is one window, and one under
+``LEAST`` bytes is only found as it is, between spaces. A document holds a window if part of it is at most ``EDITS`` of the window's
 length edits away. By the q-gram lemma such a part shares at least
 ``n - q + 1 - q * edits`` q-grams with the window, and they lie on ``edits + 1`` neighbouring
 diagonals, so in one of the overlapping bands of twice that width. Bands that reach the count
@@ -22,9 +23,10 @@ from tillroll.llm.words import pieces, text_bytes
 
 Q = 8
 WINDOW = 96
+APART = 12
 EDITS = 0.1
-LEAST = 32  # shorter items say too little and are left out
-BLOCK = 1 << 20  # bytes of benchmark text looked up in one pass over the documents
+LEAST = 32  # shorter items are looked up as whole strings, without edits
+BLOCK = 1 << 18  # bytes of benchmark text looked up in one pass over the documents
 HITS = 2 << 20  # q-gram hits looked at together
 
 _STEP = int(WINDOW * EDITS) + 1  # diagonals between the starts of bands
@@ -70,18 +72,21 @@ class BenchmarkIndex:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items: list[int] = []
+        self.tiny: dict[bytes, set[int]] = {}  # items without a q-gram
         windows = []
         for item, text in items:
             plain = _plain(pa.array([text.lower()]))[0].tobytes().strip()
             n = len(plain)
-            if n < LEAST:
+            if n < Q:
+                if n:
+                    self.tiny.setdefault(plain, set()).add(item)
                 continue
-            starts = [*range(0, max(1, n - WINDOW), WINDOW // 2), n - WINDOW] if n > WINDOW else [0]
+            starts = [*range(0, max(1, n - WINDOW), APART), n - WINDOW] if n > WINDOW else [0]
             for start in sorted(set(starts)):
                 windows.append(np.frombuffer(plain[start : start + WINDOW], dtype=np.uint8))
                 self.items.append(item)
         self.sizes = np.array([len(w) for w in windows], dtype=np.int64)
-        self.edits = (self.sizes * EDITS).astype(np.int64)
+        self.edits = np.where(self.sizes < LEAST, 0, self.sizes * EDITS).astype(np.int64)
         self.needed = self.sizes - Q + 1 - Q * self.edits
         self.texts = np.zeros((len(windows), WINDOW), dtype=np.uint8)
         for row, window in zip(self.texts, windows, strict=True):
@@ -93,7 +98,7 @@ class BenchmarkIndex:
         order = np.argsort(every, kind="stable")
         self.grams, self.first = np.unique(every[order], return_index=True)
         self.first = np.append(self.first, len(every))
-        self.window, self.place = window[order], place[order].astype(np.int64)
+        self.window, self.place = window[order].astype(np.int32), place[order].astype(np.int16)
         self.likely = np.zeros(1 << _FILTER, dtype=bool)
         self.likely[self._slot(self.grams)] = True
 
@@ -186,13 +191,26 @@ class BenchmarkIndex:
         """For each text the items found in it, with the least edits of one of their windows."""
         text, starts = _plain(column)
         out: list[dict[int, int]] = [{} for _ in range(len(column))]
+        if self.tiny:
+            raw = b" " + text.tobytes()
+            for plain, items in self.tiny.items():
+                word, at = b" " + plain + b" ", -1
+                while (at := raw.find(word, at + 1)) >= 0:
+                    d = int(np.searchsorted(starts, at, side="right")) - 1
+                    if at + len(plain) < starts[d + 1]:  # not across two texts
+                        out[d] |= dict.fromkeys(items, 0)
+                        at = int(starts[d + 1]) - 2  # on with the next text
         if not self.items or len(text) < Q:
             return out
         doc, window, band = self.candidates(text, starts)
         edits = self.distances(text, starts, doc, window, band)
         for d, w, e in zip(doc.tolist(), window.tolist(), edits.tolist(), strict=True):
             if e <= self.edits[w]:
-                item = self.items[w]
+                item, size = self.items[w], int(self.sizes[w])
+                if size < LEAST:
+                    own = b" " + text[starts[d] : starts[d + 1]].tobytes()
+                    if b" " + self.texts[w, :size].tobytes() + b" " not in own:
+                        continue
                 out[d][item] = min(e, out[d].get(item, e))
         return out
 
@@ -224,8 +242,8 @@ def find_leaks(
     """Per row of ``docs``: id, ``contaminated``, ``items`` and ``edits``.
 
     ``items`` are the benchmark items found, by number, ``edits`` the least edits of each. Null
-    and empty texts hold nothing; items that are null or shorter than ``LEAST`` normalised bytes
-    are left out; items that share a number count as one. Null ids and repeated rows are
+    and empty texts hold nothing; null items and those without a letter or digit are
+    left out; items that share a number count as one. Null ids and repeated rows are
     kept as they are; no other column is read. The benchmark is looked up in blocks of
     bounded size, each in one pass over the documents; rows go from one pass to the next.
     """
