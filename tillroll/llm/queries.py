@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.llm.alignment import align_tokens
 from tillroll.llm.chat import chat_windows, read_back
 from tillroll.llm.decontaminate import find_leaks
 from tillroll.llm.embedding_dedup import near_vectors
@@ -14,10 +15,13 @@ from tillroll.llm.katz import katz_scores
 from tillroll.llm.language import languages, learn_languages
 from tillroll.llm.packing import pack_documents
 from tillroll.llm.passages import repeated_passages
+from tillroll.llm.periodic import collapse_runs
 from tillroll.llm.quality import learn_quality, quality_scores
 from tillroll.llm.secret_scan import find_secrets
 from tillroll.llm.simhash import near_duplicates
 
+TOKENIZERS = "/opt/tokenizers"  # where the driver reads the vocabulary files
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -95,6 +99,50 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return languages(docs, learn_languages(docs))
 
 
+def op11_token_alignment(spark: SparkSession, folder: str, vocabularies: str = TOKENIZERS) -> DataFrame:
+    return align_tokens(
+        _table(spark, folder, "documents"), f"{vocabularies}/byte_bpe_50k.json", f"{vocabularies}/piece_bpe_32k.model"
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return run_digests(collapse_runs(with_planted_runs(_table(spark, folder, "documents"))))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The text of every tenth document (by crc32 of its id) goes on from some word with a period of its own."""
+    found = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    planted = found.where("h % 10 = 0").withColumn("words", words).where("size(words) > 0")
+    planted = planted.withColumn("n", F.size("words")).withColumn("g", F.expr("h div 10"))
+    planted = planted.withColumn("a", F.expr("int(g % n)")).withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
+    repeated = F.expr("transform(sequence(0, n - a - 1), i -> words[a + i % p])")
+    head = F.expr("slice(words, 1, a)")
+    text = F.array_join(F.concat(head, repeated), " ")
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rest = found.where(F.expr("h is null or h % 10 != 0") | wordless)
+    return rest.select("doc_id", "text").unionByName(planted.select("doc_id", text.alias("text")))
+
+
+def run_digests(found: DataFrame) -> DataFrame:
+    """The runs of each document counted and digested, and the one with most periods."""
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    # Runs are in order of start and period, so the first of those with most periods stays.
+    best = F.expr(
+        "aggregate(runs, runs[0], (b, r) -> if(r.length * b.period > b.length * r.period, r, b))"
+    )
+    return found.withColumn("best", F.when(F.size("runs") > 0, best)).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -106,6 +154,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 _OP2 = """
