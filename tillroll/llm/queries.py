@@ -19,6 +19,7 @@ from tillroll.llm.periodic import collapse_runs
 from tillroll.llm.quality import learn_quality, quality_scores
 from tillroll.llm.secret_scan import find_secrets
 from tillroll.llm.simhash import near_duplicates
+from tillroll.llm.suffixes import remove_repeats
 
 TOKENIZERS = "/opt/tokenizers"  # where the driver reads the vocabulary files
 
@@ -143,6 +144,17 @@ def run_digests(found: DataFrame) -> DataFrame:
     )
 
 
+def op13_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    lost = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return remove_repeats(_table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        lost.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -156,6 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_token_alignment": op11_token_alignment,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 
 _OP2 = """
