@@ -35,10 +35,10 @@ from tillroll.staging import stage
 LENGTH = 50
 GRAM = 20
 REACH = LENGTH - GRAM + 1  # k-grams of a string
-SHARD = 8 << 20  # bytes of text
+SHARD = 4 << 20  # bytes of text
 RANGE = 500_000  # k-grams named by all shards, for each range
 LOT = 1 << 20  # bytes of tiles in a lot
-SEGMENT = 1 << 20  # bytes looked at a time
+SEGMENT = 1 << 15  # bytes looked at a time
 FREE, EARLIER, CONTESTED = 0, 1, 2
 
 _BASE = 0x9E3779B97F4A7C15
@@ -90,7 +90,8 @@ class Tiles:
         held = np.maximum(0, np.diff(bounds) - LENGTH + 1) * known
         lists = [np.zeros((5, 0), dtype=np.int64)]
         whole = np.zeros(len(raw), dtype=bool)  # places where a string of a document begins
-        whole[_ragged(bounds[:-1], held)] = True
+        for begin, n in zip(bounds.tolist(), held.tolist()):
+            whole[begin : begin + n] = True
         for begin in range(0, max(0, len(raw) - LENGTH + 1), SEGMENT):
             upto = min(begin + SEGMENT, len(raw) - LENGTH + 1)
             starts = np.flatnonzero(whole[begin:upto])
@@ -109,7 +110,11 @@ class Tiles:
 
     def sort(self, ids: np.ndarray) -> None:
         """Put tiles in order of k-gram, hash and document id; mark where k-grams and tiles change."""
-        order = np.lexsort((ids[self.doc], self.hash, self.gram))
+        order = np.argsort(self.gram)
+        again = np.diff(self.gram[order], prepend=-1) == 0
+        again = np.flatnonzero(again | np.append(again[1:], False))  # k-grams that come more than once
+        some = order[again]
+        order[again] = some[np.lexsort((ids[self.doc[some]], self.hash[some], self.gram[some]))]
         for name in ("first", "count", "gram", "hash", "doc"):
             setattr(self, name, getattr(self, name)[order])
         self.id = ids[self.doc]
