@@ -37,7 +37,7 @@ GRAM = 20
 REACH = LENGTH - GRAM + 1  # k-grams of a string
 SHARD = 4 << 20  # bytes of text
 RANGE = 500_000  # k-grams named by all shards, for each range
-LOT = 1 << 20  # bytes of tiles in a lot
+LOT = 1 << 18  # bytes of tiles in a lot
 SEGMENT = 1 << 15  # bytes looked at a time
 FREE, EARLIER, CONTESTED = 0, 1, 2
 
