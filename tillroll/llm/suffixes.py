@@ -103,7 +103,7 @@ class Tiles:
             first, count, place = starts[heads], np.diff(heads, append=len(starts)), place[heads]
             ends = first + count + LENGTH - 1
             hashes = mix((sums[ends] - sums[first]) * _table("down")[first] + mix(((place - first) * 64 + count).astype(np.uint64)))
-            gram = grams[place] >> np.uint64(16)
+            gram = mix(grams[place] ^ np.uint64(_BASE)) >> np.uint64(16)  # least hashes are small; these are even
             doc = np.searchsorted(bounds, first + begin, side="right") - 1
             lists.append(np.stack([first + begin, count, gram.astype(np.int64), hashes.view(np.int64), doc]))
         self.first, self.count, self.gram, self.hash, self.doc = np.concatenate(lists, axis=1)
