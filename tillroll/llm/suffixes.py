@@ -37,7 +37,7 @@ GRAM = 20
 REACH = LENGTH - GRAM + 1  # k-grams of a string
 SHARD = 4 << 20  # bytes of text
 RANGE = 500_000  # k-grams named by all shards, for each range
-LOT = 1 << 18  # bytes of tiles in a lot
+LOT = 1 << 19  # bytes of tiles in a lot
 SEGMENT = 1 << 15  # bytes looked at a time
 FREE, EARLIER, CONTESTED = 0, 1, 2
 
@@ -348,7 +348,7 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray) -> np.ndarray:
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
     out = np.zeros(n, dtype=np.int64)
-    run = 256
+    run = 64
     heads = np.arange(0, n, run)
     common = np.zeros(len(heads), dtype=np.int64)
     for step in range(min(run, n)):
