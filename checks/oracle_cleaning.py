@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from checks.oracle_base import COLUMNS, SALES_LINES
-from tillroll.schema import CANONICAL_COLUMNS, CATEGORICAL, DATES, NUMERIC, TEXT
+from tillroll.schema import (
+    BROKEN_QUOTES, CANONICAL_COLUMNS, CATEGORICAL, DATES, EXTRA_CELLS, FAULTS, MISSING_CELLS, NUMERIC, TEXT,
+)
 
 STRINGS = ["order_id", "customer_id"] + CATEGORICAL + TEXT
 
@@ -64,7 +66,7 @@ FILLS = {c: f"COALESCE({c}, 'Unknown')" for c in TEXT}
 TITLES = {c: title(c) for c in STRINGS}
 RULES = {
     "quantity": "CAST(CASE WHEN quantity IS NULL THEN NULL "
-    "ELSE round_even(GREATEST(quantity, 1), 0) END AS INTEGER)",
+    "ELSE round_even(GREATEST(quantity, 1), 0) END AS BIGINT)",
     "discount": "CASE WHEN discount IS NULL THEN NULL ELSE LEAST(GREATEST(discount, 0.0), 1.0) END",
 }
 DATED = "order_date IS NOT NULL AND ship_date IS NOT NULL"
@@ -139,6 +141,9 @@ BAD = BAD_DATE | {c: f"({K} % {n} = 4 OR ({K} % {n} = 3 AND {c} IS NOT NULL))" f
 PARSED = {c: f"CASE WHEN {BAD[c]} THEN NULL ELSE {c} END" for c in DATES} | {
     c: f"CASE WHEN {BAD[c]} OR {K} % {n} = 5 THEN NULL ELSE {c} END" for c, n in SPOILED.items()
 }
+# Which lines of the raw file have the wrong shape, and the cells that are not there.
+MALFORMED = dict.fromkeys([*DATES, "sales"], "7") | dict.fromkeys(["quantity", "discount", "profit"], "6, 7")
+MALFORMED |= {EXTRA_CELLS: "5", MISSING_CELLS: "6", BROKEN_QUOTES: "7"}
 NAMES = ", ".join(f"CASE WHEN {bad} THEN '{c}' END" for c, bad in BAD.items())
 
 ORACLES = {
@@ -146,7 +151,11 @@ ORACLES = {
 {select_with(PARSED, "named").replace(" FROM named", ", unreadable FROM named")}""",
     "raw_unreadable": f"{RAW_CTE} " + " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", COUNT(*) FILTER (WHERE {bad}) AS cells FROM raw_sales"
-        for c, bad in BAD.items()
+        for c, bad in (BAD | dict.fromkeys(FAULTS, "FALSE")).items()
+    ),
+    "raw_malformed": f"{RAW_CTE} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", COUNT(*) FILTER (WHERE {K} % 97 IN ({at})) AS cells FROM raw_sales"
+        for c, at in MALFORMED.items()
     ),
     "quality_report_cleaned": f"{CLEANED_CTE} {report('CLEANED', CLEANED_COLUMNS, 'cleaned_sales')}",
     "quality_report": f"{RAW_CTE} {report('RAW', CANONICAL_COLUMNS, 'raw_sales')}",

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import cleaning, quality
 from tillroll.plans.cleaning import clean_sales, clean_with_report, summarise
-from tillroll.schema import UNREADABLE
-from tillroll.sources.files import typed
+from tillroll.schema import EXPECTED_COLUMNS, UNREADABLE
+from tillroll.sources.files import read_raw, typed
 from tillroll.sources.star import raw_sales
-from tillroll.staging import stage
+from tillroll.staging import stage, staging_path
+
+ORDERS = 16384  # order numbers to a raw file
 
 
 def _on_raw(step):
@@ -52,6 +54,25 @@ def _as_text(raw: DataFrame) -> DataFrame:
     )
 
 
+def _malformed(raw: DataFrame) -> DataFrame:
+    """The rows as a file with extra cells, missing cells and open quotes in some lines, read back."""
+    spark, k = raw.sparkSession, F.col("order_id").cast("long") % 97
+    text = F.to_csv(F.struct(*[raw[c] for c in raw.columns]), {"escape": '"'})
+    line = (
+        F.when(k == 5, F.concat(text, F.lit(",x,y")))
+        .when(k == 6, F.regexp_replace(text, "(,[^,]*){3}$", ""))
+        .when(k == 7, F.concat(F.lit('"'), text))
+        .otherwise(text)
+    )
+    # Files of so many orders each begin with the header.
+    files = raw.select(F.expr(f"cast(order_id as bigint) div {ORDERS}").alias("file"), line.alias("line"))
+    whole = F.array_join(F.concat(F.array(F.lit(",".join(EXPECTED_COLUMNS))), F.collect_list("line")), "\n")
+    path = staging_path(spark, "lines")
+    files.groupBy("file").agg(whole.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    read = cleaning.rename_columns(read_raw(spark, path, unreadable="mark"))
+    return quality.unreadable_cells(stage(read.select(UNREADABLE), "read"))
+
+
 def _parsed(raw: DataFrame) -> DataFrame:
     return typed(_as_text(raw), unreadable="mark")
 
@@ -59,6 +80,7 @@ def _parsed(raw: DataFrame) -> DataFrame:
 QUERIES = {
     "raw_parsed": _on_raw(lambda df: _parsed(df).withColumn("unreadable", F.array_join(UNREADABLE, ",")).drop(UNREADABLE)),
     "raw_unreadable": _on_raw(lambda df: quality.unreadable_cells(_parsed(df))),
+    "raw_malformed": _on_raw(_malformed),
     "quality_report_cleaned": _on_raw(
         lambda df: quality.quality_report(clean_sales(df), "CLEANED").drop("missing_per_col")
     ),

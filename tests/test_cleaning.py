@@ -13,6 +13,7 @@ from tillroll.operators.reports import kpi_overall
 from tillroll.plans.cleaning import clean_sales, run_cleaning
 from tillroll.operators.statistics import quantiles
 from tillroll.schema import CANONICAL_COLUMNS, EXPECTED_COLUMNS, RENAMES, SALES, UNREADABLE
+from tillroll.schema import BROKEN_QUOTES, EXTRA_CELLS, MISSING_CELLS
 from tillroll.sources import files
 from tillroll.sources.star import raw_sales, register_sales, sales_table
 from tillroll.staging import staging_path
@@ -211,6 +212,45 @@ def test_unreadable_cells_are_counted_and_kept_as_asked(spark, tmp_path, how, fi
     assert run.before.first()["columns"] == len(CANONICAL_COLUMNS)
 
 
+SHAPES = [
+    DIRTY[0].replace("2019", "2020") + ",more,cells",
+    "B-1,2019-11-08,2019-11-20,First,C1,Ann,Consumer,East,S1,Chairs,Low,P1,20",
+    'B-2,2019-11-08,2019-11-20,First,C1,"Ann,Consumer,East,S1,Chairs,Low,P1,30,2,0.1,1',
+    'B-3,2019-11-08,2019-11-20,First,C1,"Ann, ""A"" B",Consumer,East,S1,Chairs,Low,P1,40,3e9,0.1,1',
+]
+
+
+@pytest.mark.parametrize("how, quantity", [("keep", None), ("fill", 1_500_000_001)])
+def test_lines_of_the_wrong_shape(spark, tmp_path, how, quantity):
+    path = _write_raw(tmp_path, SHAPES)
+    with pytest.raises(ValueError, match=r"'\(extra cells\)': 1, '\(missing cells\)': 1, '\(broken quotes\)': 1"):
+        run_cleaning(spark, path, str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+    run = run_cleaning(spark, path, str(tmp_path / "out"), unreadable=how)
+    counts = {r["column"]: r["cells"] for r in run.unreadable.collect() if r["cells"]}
+    numbers = {"sales": 1, "quantity": 2, "discount": 2, "profit": 2}
+    assert counts == numbers | {EXTRA_CELLS: 1, MISSING_CELLS: 1, BROKEN_QUOTES: 1}
+    out = {r["order_id"]: r for r in files.read_table(spark, str(tmp_path / "out")).collect()}
+    assert out["A-0"]["sales"] == 10 and out["B-3"]["customer_name"] == 'Ann, "A" B'
+    assert out["B-1"]["quantity"] == quantity and out["B-3"]["quantity"] == 3_000_000_000
+
+
+def test_a_line_of_the_wrong_shape_stops_the_job_that_reads_it(spark, tmp_path):
+    raw = files.read_raw(spark, _write_raw(tmp_path, SHAPES[:1]))
+    with pytest.raises(Exception, match="line with .extra cells.: A-0"):
+        raw.select("Order ID").collect()
+
+
+@pytest.mark.parametrize(
+    "line, fault",
+    [("1,2,3,4", EXTRA_CELLS), ("1,2", MISSING_CELLS), ("", MISSING_CELLS), ('1,"2,3', BROKEN_QUOTES),
+     ('"a,""b"",c",2', MISSING_CELLS), ('1,"x,y",3,""', EXTRA_CELLS), (None, None)],
+)
+def test_line_faults(spark, line, fault):
+    df = spark.createDataFrame([(line,)], "x string")
+    assert df.select(files.line_fault(df["x"], 3)).first()[0] == fault
+
+
 def _staged(spark):
     return sorted(os.listdir(staging_path(spark, "x").removeprefix("file:").rsplit("/", 1)[0]))
 

@@ -104,7 +104,7 @@ def numeric_rules(df: DataFrame) -> DataFrame:
     """Quantity: at least 1, rounded half to even, whole. Discount: within [0, 1]."""
     return df.withColumns(
         {
-            "quantity": half_even(clip(F.col("quantity"), lower=1.0)).cast("int"),
+            "quantity": half_even(clip(F.col("quantity"), lower=1.0)).cast("bigint"),
             "discount": clip(F.col("discount"), lower=0.0, upper=1.0),
         }
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import half_even, ratio
 from tillroll.operators import cleaning
-from tillroll.schema import CATEGORICAL, DATES, NUMERIC, UNREADABLE
+from tillroll.schema import CATEGORICAL, DATES, FAULTS, NUMERIC, UNREADABLE
 from tillroll.staging import stage
 
 
@@ -56,7 +56,8 @@ def quality_report(df: DataFrame, label: str, duplicates: bool = True) -> DataFr
 
 
 def unreadable_cells(marked: DataFrame) -> DataFrame:
-    """(column, cells): how many cells of each number and date column could not be read."""
+    """(column, cells): how many cells of each number and date column could not be read, and
+    how many lines had each of ``FAULTS``."""
     return unreadable_of_distinct(marked.withColumn(COPIES, F.lit(1)))
 
 
@@ -64,11 +65,11 @@ def unreadable_of_distinct(distinct: DataFrame) -> DataFrame:
     """The unreadable cells of the table that ``distinct_rows`` was taken from."""
     found = [
         F.coalesce(F.sum(F.when(F.array_contains(UNREADABLE, c), F.col(COPIES))), F.lit(0))
-        for c in DATES + NUMERIC
+        for c in DATES + NUMERIC + FAULTS
     ]
     table = [
         F.struct(F.lit(c).alias("column"), n.alias("cells"))
-        for c, n in zip(DATES + NUMERIC, found, strict=True)
+        for c, n in zip(DATES + NUMERIC + FAULTS, found, strict=True)
     ]
     return distinct.agg(F.array(*table).alias("_table")).select(F.inline("_table"))
 

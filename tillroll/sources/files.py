@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tillroll.schema import DATES, EXPECTED_COLUMNS, NUMERIC, RAW, RENAMES, SALES, UNREADABLE
+from tillroll.schema import (
+    BROKEN_QUOTES, DATES, EXPECTED_COLUMNS, EXTRA_CELLS, LINE, MISSING_CELLS, NUMERIC, RAW, RENAMES, SALES, UNREADABLE,
+)
 
 # The texts that stand for a missing value in a raw file.
 MISSING = [
@@ -32,6 +35,25 @@ def parse_date(x: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
     return F.coalesce(x.try_cast("date"), *parsed)
 
 
+def line_cells(line: Column) -> Column:
+    """How many cells the text of a line has: commas outside of quotes part them."""
+    return F.size(F.split(F.regexp_replace(line, r'"[^"]*"', ""), ","))
+
+
+def line_fault(line: Column, cells: int) -> Column:
+    """What is wrong with the text of a line of the wrong shape; null for a null line.
+
+    A sound line has an even number of quotes, since those inside a cell are doubled.
+    """
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"')))
+    return (
+        F.when(line.isNull(), None)
+        .when(quotes % 2 == 1, BROKEN_QUOTES)
+        .when(line_cells(line) > cells, EXTRA_CELLS)
+        .otherwise(MISSING_CELLS)
+    )
+
+
 def typed(
     df: DataFrame, date_formats: tuple[str, ...] = DATE_FORMATS, unreadable: str = "raise"
 ) -> DataFrame:
@@ -40,16 +62,31 @@ def typed(
     A cell is unreadable if it is not missing and yet no number (infinities count as none) or
     date. ``raise`` ends the job that reads such a cell, with its column and text; ``mark``
     makes it null and adds the column ``UNREADABLE``, the names of a line's unreadable columns.
+
+    A column ``LINE`` holds the text of lines of the wrong shape, null for sound ones. ``raise``
+    ends the job that reads any cell of such a line; ``mark`` adds one of ``FAULTS`` to its names, and,
+    where cells are missing or quotes broken, its numbers and dates that are not there.
     """
     if unreadable not in ("raise", "mark"):
         raise ValueError(f"unreadable must be 'raise' or 'mark', not {unreadable!r}")
+    shaped = LINE in df.columns
+    columns = [c for c in df.columns if c != LINE]
+    line, fault = F.col(LINE), F.col("_fault")
+    if shaped:  # found once for all cells
+        df = df.withColumn("_fault", line_fault(line, len(columns)))
+    # Cells from here on are not there.
+    upto = F.when(fault == MISSING_CELLS, line_cells(line)).when(fault == BROKEN_QUOTES, 0)
     df = df.withColumns(
-        {c: F.when(~F.col(f"`{c}`").isin(MISSING), F.col(f"`{c}`")) for c in df.columns}
+        {c: F.when(~F.col(f"`{c}`").isin(MISSING), F.col(f"`{c}`")) for c in columns}
     )
-    cells, marks = {}, []
-    for header in df.columns:
+    cells, marks = {}, [fault] if shaped else []
+    for at, header in enumerate(columns):
         name = RENAMES.get(header, header)
         text = F.col(f"`{header}`")
+        if shaped and unreadable == "raise":
+            message = F.concat(F.lit("line with "), fault, F.lit(": "), line)
+            text = F.when(line.isNotNull(), F.raise_error(message).cast("string")).otherwise(text)
+            cells[header] = text
         if name in NUMERIC:
             number = F.trim(text).try_cast("double")
             cell = F.when(F.abs(number) < float("inf"), number)
@@ -62,10 +99,12 @@ def typed(
             message = F.concat(F.lit(f"unreadable {name}: "), text)
             cell = F.when(bad, F.raise_error(message).cast(RAW[name].dataType)).otherwise(cell)
         cells[header] = cell
+        if shaped:
+            bad = bad | cell.isNull() & F.coalesce(upto <= at, F.lit(False))
         marks.append(F.when(bad, F.lit(name)))
     if unreadable == "mark":
         cells[UNREADABLE] = F.array_compact(F.array(*marks)).cast("array<string>")
-    return df.withColumns(cells)
+    return df.withColumns(cells).drop(LINE, "_fault")
 
 
 def read_raw(
@@ -77,16 +116,17 @@ def read_raw(
 ) -> DataFrame:
     """A raw CSV file with its own header names, numbers and dates parsed (see ``typed``).
 
-    Only the header is read up front, so no pass over the file infers types. Set
+    Only the header is read up front, so no pass over the file infers types. Lines with more or
+    fewer cells than the header, or with a quote that is not closed, are of the wrong shape; a
+    quote open only in the last cell takes nothing along and goes unnoticed. Set
     ``multi_line`` when quoted fields hold line breaks; such files cannot be split.
     """
-    df = (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
-    return typed(check_columns(df), date_formats, unreadable)
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    header = check_columns(reader.csv(path)).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, LINE]])
+    # Lines are compared with the header even if few of their cells are asked for.
+    whole = reader.schema(schema).option("columnNameOfCorruptRecord", LINE).option("columnPruning", False)
+    return typed(whole.csv(path), date_formats, unreadable)
 
 
 def write_table(
@@ -113,7 +153,7 @@ def read_table(spark: SparkSession, path: str, format: str = "parquet") -> DataF
         return spark.read.format(format).load(path)
     header = spark.read.option("header", True).option("escape", '"').csv(path)
     types = {f.name: f.dataType for f in RAW.fields} | {
-        "quantity": "int",
+        "quantity": "bigint",
         "year": "int",
         "month": "int",
         "quarter": "int",
