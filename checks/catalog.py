@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from checks import (
+    oracle_boosting,
     oracle_cleaning,
     oracle_eda,
     oracle_forecast,
@@ -26,4 +27,5 @@ ORACLES = {
     **oracle_eda.ORACLES,
     **oracle_forecast.ORACLES,
     **oracle_models.ORACLES,
+    **oracle_boosting.ORACLES,
 }

@@ -29,14 +29,16 @@ z AS MATERIALIZED (SELECT {SHOWN}, total_sales, is_test, ROW_NUMBER() OVER (ORDE
  (year * 12 + month + region_enc) % {FOLDS} AS fold, {scaled(inputs)})"""
 
 
-def solved(name: str, size: int, alpha: float, fits: str, seen: str) -> str:
+def solved(name: str, size: int, alpha: float, fits: str, seen: str, cells: str = "") -> str:
     """``<name>_w`` (fit, i, w) and ``<name>_b`` (fit, b): one regression for each fit of ``fits``.
 
-    ``seen`` says which rows of z a fit learns from.
+    ``seen`` says which rows of z a fit learns from. ``cells`` gives (fit, rid, i, v) in their place:
+    inputs by number, and after the last one the sales.
     """
     y = size + 1
-    out = f""", {name}_c AS MATERIALIZED (SELECT fit, rid, UNNEST(RANGE(1, {y + 1})) AS i,
- UNNEST(LIST_APPEND(x, CAST(total_sales AS DOUBLE))) AS v FROM z, {fits} WHERE {seen}),
+    cells = cells or f"""SELECT fit, rid, UNNEST(RANGE(1, {y + 1})) AS i,
+ UNNEST(LIST_APPEND(x, CAST(total_sales AS DOUBLE))) AS v FROM z, {fits} WHERE {seen}"""
+    out = f""", {name}_c AS MATERIALIZED ({cells}),
 {name}_m AS MATERIALIZED (SELECT fit, i, AVG(v) AS m FROM {name}_c GROUP BY 1, 2),
 {name}_d AS MATERIALIZED (SELECT fit, rid, i, v - m AS v FROM {name}_c JOIN {name}_m USING (fit, i)),
 {name}_0 AS MATERIALIZED (SELECT a.fit, a.i, b.i AS j,

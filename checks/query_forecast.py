@@ -20,6 +20,7 @@ ROUNDED = {
 }
 # Inputs that hold their own sum cost least squares some digits.
 COARSE = ROUNDED | {"r2": 7, "mae": 2, "rmse": 2, "cv_r2": 7, "predicted": 0, "residual": 0}
+FEW = {"r2": 6, "mae": 1, "rmse": 1, "cv_r2": 6, "predicted": 1, "residual": 1}
 MEASURES = ["total_sales", "avg_discount", "order_count", "avg_quantity", "avg_profit_margin"]
 
 
@@ -57,6 +58,27 @@ def fitted(spark: SparkSession, folder: str, name: str, folds: bool = False) ->
     return _fitted[(*key, folds)]
 
 
+def _few_rounds(spark: SparkSession, folder: str, folds: bool = False) -> Fitted:
+    """Boosting on averages without the digits that depend on the order of addition: a cut may fall on them."""
+    matrix = scaled_matrix(spark, folder)
+    averages = {c: F.round(c, ROUNDED[c]) for c in features.FEATURES if c in ROUNDED}
+    train = forecast.fit_with_folds if folds else forecast.fit
+    return train(forecast.BOOSTED, forecast.assemble(matrix.withColumns(averages)), forecast.FEW_ROUNDS)
+
+
+def _few_rounds_models(spark: SparkSession, folder: str) -> list[Fitted]:
+    linear = [fitted(spark, folder, name, True) for name in (forecast.LINEAR, forecast.RIDGE)]
+    return [*linear, _few_rounds(spark, folder, True)]
+
+
+def _inside_folds(spark: SparkSession, folder: str) -> DataFrame:
+    matrix = scaled_matrix(spark, folder).drop(*forecast.SCALED)
+    averages = {c: F.round(c, ROUNDED[c]) for c in features.FEATURES if c in ROUNDED}
+    models = [forecast.fit_inside_folds(name, matrix, forecast.FEW_ROUNDS) for name in (forecast.LINEAR, forecast.RIDGE)]
+    models += [forecast.fit_inside_folds(forecast.BOOSTED, matrix.withColumns(averages), forecast.FEW_ROUNDS)]
+    return forecast.comparison(models).select("model", "cv_r2")
+
+
 def _all(spark, folder, folds=False) -> list[Fitted]:
     return [fitted(spark, folder, name, folds) for name in forecast.estimators()]
 
@@ -102,6 +124,19 @@ QUERIES = {
     "forecast_linear": _predictions(forecast.LINEAR),
     "forecast_ridge": _predictions(forecast.RIDGE),
     "forecast_gbt": _predictions(forecast.BOOSTED),
+    "forecast_few_rounds": lambda spark, folder: _shown(
+        forecast.residuals(_few_rounds(spark, folder).predicted), places=FEW
+    ),
+    "forecast_few_rounds_quality": lambda spark, folder: _shown(
+        forecast.comparison([_few_rounds(spark, folder, True)]), places=FEW
+    ),
+    "forecast_few_rounds_comparison": lambda spark, folder: _shown(
+        forecast.comparison(_few_rounds_models(spark, folder)), places=FEW
+    ),
+    "forecast_few_rounds_summary": lambda spark, folder: _shown(
+        forecast.summary(forecast.best_of(_few_rounds_models(spark, folder))), places=FEW
+    ),
+    "forecast_inside_folds": lambda spark, folder: _shown(_inside_folds(spark, folder), places=FEW),
     "forecast_linear_quality": _quality(forecast.LINEAR),
     "forecast_ridge_quality": _quality(forecast.RIDGE),
     "forecast_ridge_line": lambda spark, folder: _shown(
