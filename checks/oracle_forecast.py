@@ -73,6 +73,15 @@ def level(name: str, *keys: str) -> str:
 ORACLES = {
     "feature_monthly": f"{MONTHLY_CTE} SELECT {columns(*KEYS, *MEASURES)} FROM monthly",
     "feature_lags": f"{LAGS_CTE} SELECT {columns(*KEYS, 'total_sales', *LAGS)} FROM features",
+    "feature_lags_of_calendar": f"""{MONTHLY_CTE},
+kept AS (SELECT *, year * 12 + month - 1 AS m FROM monthly WHERE (year * 12 + month + LENGTH(region)) % 7 <> 3),
+spine AS (SELECT region, category, UNNEST(RANGE(MIN(m), MAX(m) + 1)) AS m FROM kept GROUP BY 1, 2),
+whole AS (SELECT CAST(s.m // 12 AS INTEGER) AS year, CAST(s.m % 12 + 1 AS INTEGER) AS month,
+ CAST(s.m % 12 // 3 + 1 AS INTEGER) AS quarter, s.region, s.category, COALESCE(total_sales, 0) AS total_sales,
+ COALESCE(order_count, 0) AS order_count FROM spine s LEFT JOIN kept k ON k.region = s.region AND k.category = s.category AND k.m = s.m),
+lagged AS (SELECT *, LAG(total_sales, 1) {SERIES} AS lag_1_sales, LAG(total_sales, 2) {SERIES} AS lag_2_sales,
+ LAG(total_sales, 3) {SERIES} AS lag_3_sales FROM whole)
+SELECT *, ROUND((lag_1_sales + lag_2_sales + lag_3_sales) / 3, 4) AS rolling_3avg FROM lagged""",
     "feature_matrix": f"{MATRIX_CTE} SELECT "
     f"{columns(*KEYS, *MEASURES, *LAGS, *SEASONS, *ENCODED)} FROM matrix",
     "train_test_split": f"{MATRIX_CTE} SELECT {columns(*KEYS, 'total_sales', 'is_test')} FROM split",

@@ -33,6 +33,11 @@ def _places(model: str) -> dict[str, int]:
     return COARSE if model == forecast.LINEAR else ROUNDED
 
 
+def _with_gaps(monthly: DataFrame) -> DataFrame:
+    """Some months are missing, other ones for regions with names of other lengths."""
+    return monthly.where((F.col("year") * 12 + F.col("month") + F.length("region")) % 7 != 3)
+
+
 def _scaled(spark: SparkSession, folder: str) -> DataFrame:
     table = scaled_matrix(spark, folder)
     scores = [F.round(c, 6).alias(c) for c in forecast.SCALED]
@@ -107,6 +112,10 @@ QUERIES = {
         features.add_lags(features.monthly_features(cleaned(spark, folder))),
         *features.KEYS, "total_sales", *features.LAGS, "rolling_3avg",
     ),
+    "feature_lags_of_calendar": lambda spark, folder: _shown(
+        features.add_lags(_with_gaps(features.monthly_features(cleaned(spark, folder))), densify=True),
+        *features.KEYS, "total_sales", "order_count", *features.LAGS, "rolling_3avg",
+    ),
     "feature_matrix": lambda spark, folder: _shown(
         features.feature_matrix(cleaned(spark, folder))
     ),

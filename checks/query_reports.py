@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tillroll.operators import reports
 from tillroll.sources.star import sales_table
 
@@ -13,11 +15,18 @@ def _on_sales(report, **params):
     return lambda spark, folder: report(sales_table(spark, folder), **params)
 
 
+def _with_gaps(spark, folder):
+    """The sales without some months, every seventh of the calendar."""
+    month = F.year("order_date") * 12 + F.month("order_date")
+    return sales_table(spark, folder).where(month % 7 != 3)
+
+
 QUERIES = {
     "sales_view": sales_table,
     "kpi_overall": _on_sales(reports.kpi_overall),
     "monthly_mom_growth": _on_sales(reports.monthly_growth),
     "monthly_neighbours": _on_sales(reports.monthly_growth, following=True),
+    "monthly_growth_of_calendar": lambda spark, folder: reports.monthly_growth(_with_gaps(spark, folder), densify=True),
     "region_performance": _on_sales(reports.region_performance),
     "top_states": _on_sales(reports.top_states),
     "category_contribution": _on_sales(reports.category_contribution),

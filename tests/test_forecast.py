@@ -49,6 +49,26 @@ def test_lags_need_three_rows(raw):
     assert got == {"enough": (3.0, 2.0, 1.0, 2.0, 0), "gap": (4.0, 2.0, 1.0, pytest.approx(7 / 3), 1)}
 
 
+def test_lags_of_the_calendar(raw):
+    """Months without sales count as zero in the lags, and get no rows of their own in the matrix."""
+    lines = [
+        {"category": c, "order_date": dt.date(y, m, 1), "ship_date": dt.date(y, m, 2), "sales": 100 * y + m - 190000}
+        for c, y, m in [("a", 2000, 11), ("a", 2000, 12), ("a", 2001, 3), ("b", 2000, 1), ("b", 2000, 4), ("b", 2000, 5)]
+    ]
+    monthly = features.monthly_features(cleaning.add_derived(raw(lines)))
+    rows = features.add_lags(monthly, densify=True).orderBy("category", "year", "month").collect()
+    assert [(r["category"], r["year"], r["month"], r["quarter"]) for r in rows] == [
+        ("a", 2000, 11, 4), ("a", 2000, 12, 4), ("a", 2001, 1, 1), ("a", 2001, 2, 1), ("a", 2001, 3, 1),
+        ("b", 2000, 1, 1), ("b", 2000, 2, 1), ("b", 2000, 3, 1), ("b", 2000, 4, 2), ("b", 2000, 5, 2),
+    ]
+    assert [r["total_sales"] for r in rows] == [10011, 10012, 0, 0, 10103, 10001, 0, 0, 10004, 10005]
+    assert [r["order_count"] for r in rows] == [1, 1, 0, 0, 1, 1, 0, 0, 1, 1]
+    assert [r["lag_3_sales"] for r in rows[3:5]] == [10011, 10012] and rows[2]["avg_discount"] is None
+    matrix = features.feature_matrix(cleaning.add_derived(raw(lines)), densify=True)
+    assert sorted((r["category"], r["month"], r["lag_1_sales"]) for r in matrix.collect()) == [("a", 3, 0), ("b", 4, 0), ("b", 5, 10004)]
+    assert features.add_lags(monthly).count() == 6
+
+
 def test_scaling(spark, data):
     x, _ = _arrays(data, "not is_test", features.FEATURES)
     scaled, _ = _arrays(data, "not is_test", forecast.SCALED)

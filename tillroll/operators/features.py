@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.functions.dates import fill_months
 from tillroll.functions.numeric import money_total
 from tillroll.staging import stage
 
@@ -35,11 +36,25 @@ def monthly_features(cleaned: DataFrame) -> DataFrame:
     )
 
 
-def add_lags(monthly: DataFrame) -> DataFrame:
+def add_months(monthly: DataFrame) -> DataFrame:
+    """The months without sales between the first and last one of a series: no orders, no averages."""
+    dated = monthly.withColumn("_month", F.make_date("year", "month", F.lit(1)))
+    at = F.col("_month")
+    return (
+        fill_months(dated, "_month", SERIES, [TARGET, "order_count"])
+        .withColumns({"year": F.year(at), "month": F.month(at), "quarter": F.quarter(at)})
+        .drop("_month")
+    )
+
+
+def add_lags(monthly: DataFrame, densify: bool = False) -> DataFrame:
     """Sales one, two and three rows back in the series and their mean.
 
-    The mean needs all three rows, so it is null wherever a lag is.
+    The mean needs all three rows, so it is null wherever a lag is. ``densify`` adds the months
+    without sales first, so that the rows back are months back.
     """
+    if densify:
+        monthly = add_months(monthly)
     series = Window.partitionBy(*SERIES).orderBy("year", "month")
     lagged = monthly.withColumns(
         {name: F.lag(TARGET, k).over(series) for k, name in enumerate(LAGS, start=1)}
@@ -68,13 +83,15 @@ def encode(df: DataFrame, columns: list[str] = SERIES) -> DataFrame:
     return df
 
 
-def feature_matrix(cleaned: DataFrame) -> DataFrame:
+def feature_matrix(cleaned: DataFrame, densify: bool = False) -> DataFrame:
     """All features; rows without a full history are dropped before the labels are numbered.
 
+    With ``densify`` months without sales count in the histories, as zero; they get no rows of their own.
+
     The history is staged (a row per month, region and category), so numbering
     the labels does not aggregate the sales again.
     """
-    history = add_seasons(add_lags(monthly_features(cleaned))).dropna("any")
+    history = add_seasons(add_lags(monthly_features(cleaned), densify)).dropna("any")
     history = stage(history.hint("rebalance"), "history")
     matrix = encode(history)
     return matrix.select(*history.columns, *[f"{c}_enc" for c in SERIES])

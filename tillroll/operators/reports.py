@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.dates import in_years
+from tillroll.functions.dates import fill_months, in_years
 from tillroll.functions.numeric import distinct_count, half_up, mean, pct, ratio
 from tillroll.operators.ranking import ntile_of, rank_all, top_ranked
 from tillroll.staging import stage
@@ -35,16 +35,22 @@ def kpi_overall(sales: DataFrame, rsd: float | None = None) -> DataFrame:
     )
 
 
-def monthly_growth(sales: DataFrame, following: bool = False) -> DataFrame:
+def monthly_growth(sales: DataFrame, following: bool = False, densify: bool = False) -> DataFrame:
     """Sales by month and the change from the month before it in the table.
 
-    ``following`` adds the sales of the month after it.
+    ``following`` adds the sales of the month after it. ``densify`` gives months without sales a
+    row of zeros, so that the month before is the one of the calendar.
     """
     monthly = sales.groupBy(
         F.year("order_date").alias("yr"),
         F.month("order_date").alias("mth"),
         F.date_format("order_date", "yyyy-MM").alias("yr_month"),
     ).agg(_total("sales").alias("monthly_sales"), _total("profit").alias("monthly_profit"))
+    if densify:
+        dated = monthly.withColumn("_month", F.make_date("yr", "mth", F.lit(1)))
+        at = F.col("_month")
+        filled = fill_months(dated, "_month", [], ["monthly_sales", "monthly_profit"])
+        monthly = filled.withColumns({"yr": F.year(at), "mth": F.month(at), "yr_month": F.date_format(at, "yyyy-MM")}).drop("_month")
     by_month = Window.orderBy(F.asc_nulls_first("yr"), F.asc_nulls_first("mth"))
     previous = F.col("prev_month_sales")
     if following:
