@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from checks.oracle_forecast import MATRIX_CTE, ROUNDED
 from checks.oracle_models import FEATURES, INDEPENDENT, R2, SHOWN, compared, solved
-from tillroll.operators.forecast import ALPHA, BOOSTED, FEW_ROUNDS, FOLDS, LINEAR, RIDGE
+from tillroll.operators.forecast import ALPHA, BOOSTED, FEW_ROUNDS, FOLDS, HORIZON, LINEAR, NAIVE, ORIGINS, RIDGE
 
 BINS = 128
 WHOLE = -1  # the fit that learns from all training rows; the others leave a fold out
@@ -115,7 +115,43 @@ r AS (SELECT fit, {R2} AS r2 FROM q GROUP BY 1)
 SELECT '{label}' AS model, ROUND(AVG(r2), {SHARE}) AS cv_r2 FROM r"""
 
 
+ORIGIN = f"(SELECT MAX(number) FROM z) + 1 - {HORIZON} * ({ORIGINS} - fit)"
+JUDGED = f"""ROUND({R2}, {SHARE}) AS r2, ROUND(AVG(ABS({ERROR})), {MONEY}) AS mae, ROUND(SQRT(AVG({ERROR} ** 2)), {MONEY}) AS rmse"""
+DATE = "CAST(origin // 12 AS VARCHAR) || '-' || LPAD(CAST(origin % 12 + 1 AS VARCHAR), 2, '0') AS origin"
+
+
+def rolling_origin(label: str, inputs: list[str], alpha: float) -> str:
+    """Quality on the months from each origin on, learned from the months before it."""
+    y = len(inputs) + 1
+    values = ", ".join(f"CAST({c} AS DOUBLE)" for c in inputs)
+    scores = f"""SELECT fit, rid, i, v FROM scored WHERE number < origin
+ UNION ALL SELECT fit, rid, {y}, CAST(total_sales AS DOUBLE) FROM z, fits WHERE number < origin"""
+    return f"""{MATRIX_CTE}, z AS MATERIALIZED (SELECT total_sales, year * 12 + month - 1 AS number,
+ ROW_NUMBER() OVER (ORDER BY {SHOWN}) AS rid, [{values}] AS x FROM split),
+fits AS MATERIALIZED (SELECT fit, {ORIGIN} AS origin FROM (SELECT UNNEST(RANGE({ORIGINS})) AS fit)),
+long AS (SELECT rid, number, UNNEST(RANGE(1, {y})) AS i, UNNEST(x) AS value FROM z),
+moments AS (SELECT fit, origin, i, AVG(value) AS m, COALESCE(NULLIF(STDDEV_SAMP(value), 0), 1) AS s
+ FROM long, fits WHERE number < origin GROUP BY 1, 2, 3),
+scored AS MATERIALIZED (SELECT fit, origin, rid, number, i, (value - m) / s AS v FROM long JOIN moments USING (i))
+{solved("fold", len(inputs), alpha, "", "", scores)},
+q AS (SELECT fit, origin, rid, MAX(z.total_sales) AS total_sales, MAX(b) + SUM(w * v) AS prediction FROM scored
+ JOIN fold_w USING (fit, i) JOIN fold_b USING (fit) JOIN z USING (rid)
+ WHERE scored.number BETWEEN origin AND origin + {HORIZON - 1} GROUP BY 1, 2, 3)
+SELECT '{label}' AS model, {DATE}, COUNT(*) AS rows, {JUDGED} FROM q GROUP BY origin"""
+
+
+MEAN_OF_THREE = f"""{MATRIX_CTE}, z AS (SELECT total_sales, rolling_3avg AS prediction, year * 12 + month - 1 AS number FROM split),
+fits AS (SELECT {ORIGIN} AS origin FROM (SELECT UNNEST(RANGE({ORIGINS})) AS fit))
+SELECT '{NAIVE}' AS model, {DATE}, COUNT(*) AS rows, {JUDGED} FROM z, fits
+WHERE number BETWEEN origin AND origin + {HORIZON - 1} GROUP BY origin"""
+
 ORACLES = {
+    "forecast_rolling_origin": " UNION ALL ".join(
+        f"SELECT * FROM ({query})"
+        for query in (
+            rolling_origin(LINEAR, INDEPENDENT, 0.0), rolling_origin(RIDGE, FEATURES, ALPHA), MEAN_OF_THREE,
+        )
+    ),
     "forecast_few_rounds": f"""{TREES} SELECT {SHOWN}, total_sales AS actual, ROUND(prediction, {MONEY}) AS predicted,
  ROUND({ERROR}, {MONEY}) AS residual FROM z JOIN fitted USING (rid) WHERE is_test AND fit = {WHOLE}""",
     "forecast_few_rounds_quality": QUALITY,

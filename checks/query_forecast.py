@@ -84,6 +84,11 @@ def _inside_folds(spark: SparkSession, folder: str) -> DataFrame:
     return forecast.comparison(models).select("model", "cv_r2")
 
 
+def _rolling_origin(spark: SparkSession, folder: str) -> DataFrame:
+    matrix = scaled_matrix(spark, folder).drop(*forecast.SCALED)
+    return forecast.rolling_origin(matrix, [forecast.LINEAR, forecast.RIDGE, forecast.NAIVE])
+
+
 def _all(spark, folder, folds=False) -> list[Fitted]:
     return [fitted(spark, folder, name, folds) for name in forecast.estimators()]
 
@@ -146,6 +151,7 @@ QUERIES = {
         forecast.summary(forecast.best_of(_few_rounds_models(spark, folder))), places=FEW
     ),
     "forecast_inside_folds": lambda spark, folder: _shown(_inside_folds(spark, folder), places=FEW),
+    "forecast_rolling_origin": lambda spark, folder: _shown(_rolling_origin(spark, folder), places=FEW),
     "forecast_linear_quality": _quality(forecast.LINEAR),
     "forecast_ridge_quality": _quality(forecast.RIDGE),
     "forecast_ridge_line": lambda spark, folder: _shown(

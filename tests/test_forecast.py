@@ -169,3 +169,36 @@ def test_ended_series_get_no_forecast(spark):
     ahead = forecast.next_month(spark.createDataFrame(rows, names)).collect()
     got = sorted((r.region, r.category, r.year, r.month, r.lag_1_sales, r.lag_3_sales) for r in ahead)
     assert got == [("East", "Chairs", 2019, 1, 11.0, 9.0), ("East", "Tables", 2019, 1, 10.0, 8.0)]
+
+
+def test_rolling_origin(spark, data):
+    """Each origin learns from the months before it only."""
+    matrix = scaled_matrix(spark, SMALL).drop(*forecast.SCALED)
+    got = forecast.rolling_origin(matrix, [forecast.RIDGE, forecast.NAIVE], origins=2, horizon=3).collect()
+    last = max(r["year"] * 12 + r["month"] - 1 for r in matrix.select("year", "month").collect())
+    starts = [last - 5, last - 2]
+    names = [f"{n // 12:04d}-{n % 12 + 1:02d}" for n in starts]
+    assert [(r["model"], r["origin"]) for r in got] == [(m, o) for m in (forecast.RIDGE, forecast.NAIVE) for o in names]
+    frame = matrix.toPandas()
+    number = frame["year"] * 12 + frame["month"] - 1
+    for start, ridge, mean in zip(starts, got[:2], got[2:]):
+        old, ahead = frame[number < start], frame[(number >= start) & (number < start + 3)]
+        x, y = (old[c].to_numpy(float) for c in (features.FEATURES, features.TARGET))
+        sd = x.std(axis=0, ddof=1)
+        sd[sd == 0] = 1
+        w, b = _ridge((x - x.mean(axis=0)) / sd, y, forecast.ALPHA)
+        predicted = (ahead[features.FEATURES].to_numpy(float) - x.mean(axis=0)) / sd @ w + b
+        actual = ahead[features.TARGET].to_numpy(float)
+        assert ridge["r2"] == pytest.approx(_r2(actual, predicted), rel=1e-6)
+        assert ridge["rows"] == mean["rows"] == len(ahead)
+        assert mean["mae"] == pytest.approx(abs(actual - ahead["rolling_3avg"].to_numpy(float)).mean())
+    assert forecast.rolling_origin(matrix.limit(0), [forecast.RIDGE]).count() == 0
+
+
+def test_choosing_by_folds(spark):
+    rows = spark.createDataFrame([(1.0, 1.0), (2.0, 2.1), (3.0, 2.9)], f"{features.TARGET} double, prediction double")
+    poor = rows.withColumn("prediction", features.F.lit(2.0))
+    models = [forecast.Fitted("a", None, poor, 0.9), forecast.Fitted("b", None, rows, 0.5)]
+    assert forecast.best_of(models).name == "b" and forecast.best_of(models, "cv").name == "a"
+    with pytest.raises(ValueError, match="choose"):
+        forecast.best_of(models, "luck")

@@ -25,6 +25,7 @@ from tillroll.operators.features import (
 
 # Model names and parameters.
 LINEAR, RIDGE, BOOSTED = "Linear Regression", "Ridge Regression", "Gradient Boosting"
+NAIVE = "Mean of three months"
 ALPHA = 1.0
 BOOSTING = {"maxIter": 200, "stepSize": 0.05, "maxDepth": 4, "seed": 42}
 FOLDS = 5
@@ -180,6 +181,45 @@ def fit_inside_folds(name: str, matrix: DataFrame, boosting: dict = BOOSTING) ->
     return Fitted(name, model.stages[-1], model.transform(matrix.where("is_test")), found.avgMetrics[0])
 
 
+ORIGINS, HORIZON = 5, 6
+
+
+def rolling_origin(
+    matrix: DataFrame, models: list[str], origins: int = ORIGINS, horizon: int = HORIZON, boosting: dict = BOOSTING
+) -> DataFrame:
+    """(model, origin, rows, r2, mae, rmse): each model as it would have done at earlier dates.
+
+    A model learns, labels and scores included, from all months before an origin and is judged on the
+    ``horizon`` months from it on. Origins lie a horizon apart, the last one a horizon before the
+    end. ``NAIVE`` is the mean of the three months before. An origin without rows on either side has no row.
+    """
+    numbered = matrix.withColumn("_number", F.col("year") * 12 + F.col("month") - 1).persist()
+    first, last = numbered.agg(F.min("_number"), F.max("_number")).first()
+    starts = [] if last is None else [n for k in range(origins, 0, -1) if (n := last + 1 - k * horizon) > first]
+
+    def judged(task: tuple[str, int]) -> DataFrame:
+        name, start = task
+        ahead = numbered.where(F.col("_number").between(start, start + horizon - 1))
+        if name == NAIVE:
+            predicted = naive(ahead)
+        else:
+            predicted = pipeline(name, boosting).fit(numbered.where(F.col("_number") < start)).transform(ahead)
+        named = predicted.select(
+            F.lit(name).alias("model"), F.lit(f"{start // 12:04d}-{start % 12 + 1:02d}").alias("origin"), TARGET, "prediction"
+        )
+        counted = named.groupBy("model", "origin").agg(F.count(F.lit(1)).alias("rows"))
+        return counted.join(metrics(named, "model", "origin"), ["model", "origin"])
+
+    tasks = [(name, start) for name in models for start in starts]
+    with ThreadPool(FOLDS) as pool:
+        found = pool.map(inheritable_thread_target(matrix.sparkSession)(judged), tasks)
+    schema = "model string, origin string, rows long, r2 double, mae double, rmse double"
+    # A row for each model and origin, which no longer needs the models.
+    rows = [r for table in found for r in table.collect()]
+    numbered.unpersist()
+    return matrix.sparkSession.createDataFrame(rows, schema)
+
+
 def comparison(models: list[Fitted]) -> DataFrame:
     """(model, r2, mae, rmse, cv_r2), one row per model in the given order."""
     rows = [
