@@ -255,6 +255,41 @@ def _staged(spark):
     return sorted(os.listdir(staging_path(spark, "x").removeprefix("file:").rsplit("/", 1)[0]))
 
 
+def _year_lines(*days):
+    return [f"Y-{n},{day},{day},First,C1,Ann,Consumer,East,S1,Chairs,Low,P1,{10 + n},2,0.1,1" for n, day in enumerate(days)]
+
+
+def test_some_years_are_replaced(spark, tmp_path):
+    out = tmp_path / "out"
+
+    def files_of(year):
+        return {p.name: p.stat().st_mtime_ns for p in (out / f"year={year}").glob("part-*")}
+
+    days = ["2018-05-01", "2019-05-01", "2020-05-01"]
+    run_cleaning(spark, _write_raw(tmp_path, _year_lines(*days)), str(out))
+    old, gone = files_of(2020), files_of(2019)
+    assert old and gone and (out / "year=2018").exists()
+    path = _write_raw(tmp_path, _year_lines("2020-06-01", "2019-05-01", "2020-05-01", "2019-07-01"))
+    with pytest.raises(ValueError, match="Parquet"):
+        run_cleaning(spark, path, str(out), "csv", years=[2019])
+    run = run_cleaning(spark, path, str(out), years=[2018, 2019])
+    assert files_of(2020) == old and not set(files_of(2019)) & set(gone) and not (out / "year=2018").exists()
+    rows = files.read_table(spark, str(out)).select("order_id", "year").collect()
+    assert sorted(map(tuple, rows)) == [("Y-1", 2019), ("Y-2", 2020), ("Y-3", 2019)]
+    assert run.after.first()["rows"] == 3
+
+
+def test_a_failed_replacement_leaves_the_old_years(spark, tmp_path):
+    path = str(tmp_path / "out")
+    files.write_table(spark.range(3).selectExpr("id", "2019 + cast(id as int) as year"), path)
+    bad = spark.range(9).selectExpr("if(id = 8, cast(raise_error('no') as bigint), id) as id", "2019 + cast(id % 2 as int) as year")
+    with pytest.raises(Exception, match="no"):
+        files.write_table(bad, path, replace="present")
+    assert sorted(map(tuple, files.read_table(spark, path).collect())) == [(0, 2019), (1, 2020), (2, 2021)]
+    with pytest.raises(ValueError, match="replace"):
+        files.write_table(bad, path, format="csv", replace="present")
+
+
 def test_infinities_are_no_values(spark):
     df = spark.createDataFrame([(-math.inf,), (-math.inf,), (1.0,), (3.0,), (math.inf,), (math.nan,), (None,)], "x double")
     assert quantiles(df, {"x": [0.5]}) == {("x", 0.5): 2.0}

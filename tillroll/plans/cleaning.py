@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.operators import cleaning, quality
 from tillroll.schema import UNREADABLE
-from tillroll.sources.files import read_raw, read_table, write_table
+from tillroll.sources.files import read_raw, read_table, replace_years, write_table
 from tillroll.staging import stage, temporary
 
 
@@ -73,6 +73,7 @@ def run_cleaning(
     format: str = "parquet",
     k: float = 3.0,
     unreadable: str = "raise",
+    years: list[int] | None = None,
 ) -> CleaningRun:
     """Clean a raw CSV file into ``target`` and report on it.
 
@@ -81,7 +82,12 @@ def run_cleaning(
     table; ``fill`` treats them as missing, so numbers get the median. Lines without a
     readable date are dropped by both, as lines without a date are. The raw rows are
     shuffled once, and the copy of them is deleted at the end.
+
+    ``years`` replaces only these years of a target that is there already (Parquet). Medians,
+    modes and limits are still those of all lines, and the reports tell of the whole target.
     """
+    if years is not None and format != "parquet":
+        raise ValueError("years can be replaced in Parquet tables only")
     if unreadable not in ("raise", "keep", "fill"):
         raise ValueError(f"unreadable must be 'raise', 'keep' or 'fill', not {unreadable!r}")
     with temporary(spark):
@@ -94,7 +100,10 @@ def run_cleaning(
         if unreadable == "fill":
             distinct = distinct.drop(UNREADABLE)
         cleaned = clean_distinct(distinct.drop(quality.COPIES), k)
-        write_table(cleaned, target, format)
+        if years is None:
+            write_table(cleaned, target, format)
+        else:
+            replace_years(cleaned, target, years)
         before = _small(quality.report_of_distinct(distinct, "RAW"))
         after = _small(quality.quality_report(read_table(spark, target, format), "CLEANED"))
         audit = _small(quality.audit_of_distinct(distinct, k))

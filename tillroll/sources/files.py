@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tillroll.schema import (
     BROKEN_QUOTES, DATES, EXPECTED_COLUMNS, EXTRA_CELLS, LINE, MISSING_CELLS, NUMERIC, RAW, RENAMES, SALES, UNREADABLE,
 )
+from tillroll.staging import delete, stage
 
 # The texts that stand for a missing value in a raw file.
 MISSING = [
@@ -130,23 +131,42 @@ def read_raw(
 
 
 def write_table(
-    df: DataFrame, path: str, format: str = "parquet", partition_by: str | None = "year"
+    df: DataFrame, path: str, format: str = "parquet", partition_by: str | None = "year", replace: str = "all"
 ) -> None:
     """Write a cleaned table. Parquet is split by year, so that year filters skip files.
 
     Rebalancing gives files of even size: large years are cut up, small ones not
-    scattered over every task.
+    scattered over every task. ``replace="present"`` replaces only the folders of years that
+    ``df`` has rows of, once all its files are written; other folders are not touched, and a run
+    that fails before leaves the old ones in place.
     """
     by_folder = partition_by is not None and format != "csv"
+    if replace not in ("all", "present") or replace == "present" and not by_folder:
+        raise ValueError(f"replace must be 'all', or 'present' for a table in folders, not {replace!r}")
     df = df.hint("rebalance", partition_by) if by_folder else df.hint("rebalance")
     writer = df.write.mode("overwrite").format(format)
     if format == "csv":
         writer = writer.option("header", True).option("escape", '"')
     if by_folder:
-        writer = writer.partitionBy(partition_by)
+        mode = "dynamic" if replace == "present" else "static"
+        writer = writer.partitionBy(partition_by).option("partitionOverwriteMode", mode)
     writer.save(path)
 
 
+def replace_years(df: DataFrame, path: str, years: list[int]) -> None:
+    """Replace the given years of a table written by ``write_table`` by their rows in ``df``.
+
+    The rows are staged first. A year that has none any more loses its folder, after the others
+    are replaced.
+    """
+    wanted = stage(df.where(F.col("year").isin(years)), "years")
+    present = {r["year"] for r in wanted.select("year").distinct().collect()}
+    if present:
+        write_table(wanted, path, replace="present")
+    for year in sorted(set(years) - present):
+        delete(df.sparkSession, f"{path}/year={year}")
+
+
 def read_table(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     """A table written by ``write_table``."""
     if format != "csv":

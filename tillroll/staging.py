@@ -52,7 +52,7 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _written.pop():
-            _delete(spark, path)
+            delete(spark, path)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -64,10 +64,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete everything this application has staged; tables read from it are gone too."""
-    _delete(spark, _application_folder(spark))
+    delete(spark, _application_folder(spark))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all it holds; one that is not there is no fault."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.delete(folder, True)
