@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -260,3 +261,57 @@ def test_numbers_of_runs():
         known = [tuple(ids[i : i + size].tolist()) for i in range(200 - size + 1)]
         assert len(set(zip(known, got.tolist()))) == len(set(known)) == len(set(got[: len(known)].tolist()))
         assert not got[len(known) :].any()
+
+
+def test_texts_that_share_an_id_or_have_none(spark):
+    rng = random.Random(21)
+    fresh = lambda n: [f"{rng.randrange(10**9)}" for _ in range(n)]
+    shared, other = fresh(60), fresh(60)
+    texts = [(1, fresh(20) + shared), (1, fresh(30)), (2, shared + fresh(9)), (3, other), (None, other), (None, shared), (3, other)]
+    rows = [(i, " ".join(w), 1, "", 1) for i, w in texts]
+    found = lambda **kw: sorted(
+        ((r.doc_id, r.partner_id, r.end_word - r.first_word) for r in repeated_passages(spark.createDataFrame(rows, DOCS), **kw).collect()),
+        key=str,
+    )
+    # Whichever text of id 1 has the smaller hash, the passage of 1 and 2 is found.
+    (link,) = found()
+    assert link[2] == 60 and set(link[:2]) == {1, 2}
+    links = found(null_ids=True)
+    assert len(links) == 3 and all(n == 60 for *_, n in links)
+    assert (None, 3, 60) in links and {1, 2} in [set(link[:2]) for link in links]
+    assert sum(link[0] is None and link[1] in (1, 2) for link in links) == 1
+
+
+def test_hot_seeds_are_matched_like_others(spark, monkeypatch):
+    rng = random.Random(22)
+    fresh = lambda n: [f"{rng.randrange(10**9)}" for _ in range(n)]
+    lines = [fresh(25) for _ in range(6)]
+    rows = [(i, " ".join(sum([fresh(5), *rng.sample(lines, 3), fresh(i % 7)], [])), 1, "", 1) for i in range(80)]
+    frame = spark.createDataFrame(rows, DOCS)
+    assert len(passages._hot_seeds(frame.selectExpr("doc_id as id", "text"))) == 0
+    cold = sorted(repeated_passages(frame).collect())
+    monkeypatch.setattr(passages, "FEW", 20)
+    assert len(passages._hot_seeds(frame.selectExpr("doc_id as id", "text"))) > 20
+    assert sorted(repeated_passages(frame).collect()) == cold and len(cold) > 60
+
+
+@settings(max_examples=40, deadline=None)
+@given(
+    st.lists(st.tuples(st.integers(0, 3), st.integers(0, 4), st.integers(0, 5), st.integers(-1, 1), st.integers(-1, 1)), max_size=40),
+    st.integers(1, 9),
+)
+def test_first_occurrences_across_batches(rows, size):
+    rows = sorted({r[:3]: r for r in rows}.values())
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.int32()) for i, c in enumerate(zip(*rows[b : b + size]))], names=list("abcde"))
+        for b in range(0, len(rows), size)
+    ]
+    got = sorted(tuple(r.values()) for b in passages._to_first(iter(batches)) for r in b.to_pylist())
+    want = set()
+    for seed, node, at, *wide in rows:
+        for k in (None, 0, 1):
+            if k is None or wide[k] >= 0:
+                first = min(r[1:3] for r in rows if r[0] == seed and (k is None or r[3 + k] == wide[k]))
+                if first[0] != node:
+                    want.add((node, first[0], at, first[1]))
+    assert set(got) == want
