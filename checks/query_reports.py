@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillroll.operators import reports
+from tillroll.operators.distinct import count_bitmaps, distinct_bitmaps
 from tillroll.sources.star import sales_table
+from tillroll.staging import stage
 
 # The test orders run from 1995 to the middle of 2001.
 CURRENT, PRIOR = 2000, 1999
@@ -21,6 +23,14 @@ def _with_gaps(spark, folder):
     return sales_table(spark, folder).where(month % 7 != 3)
 
 
+def _distinct_by_region(spark, folder):
+    """Orders and customers of each region and overall, from one stored table of bitmaps by year and region."""
+    sales = sales_table(spark, folder).withColumn("yr", F.year("order_date"))
+    stored = stage(distinct_bitmaps(sales, ["yr", "region"], ["order_id", "customer_id"]), "bitmaps")
+    overall = count_bitmaps(stored, []).withColumn("region", F.lit("all"))
+    return count_bitmaps(stored, ["region"]).unionByName(overall)
+
+
 QUERIES = {
     "sales_view": sales_table,
     "kpi_overall": _on_sales(reports.kpi_overall),
@@ -28,6 +38,7 @@ QUERIES = {
     "monthly_neighbours": _on_sales(reports.monthly_growth, following=True),
     "monthly_growth_of_calendar": lambda spark, folder: reports.monthly_growth(_with_gaps(spark, folder), densify=True),
     "region_performance": _on_sales(reports.region_performance),
+    "distinct_from_bitmaps": _distinct_by_region,
     "top_states": _on_sales(reports.top_states),
     "category_contribution": _on_sales(reports.category_contribution),
     "top_subcategories": _on_sales(reports.top_subcategories),
