@@ -191,3 +191,14 @@ def test_stages_take_no_documents(spark):
         assert step(spark, docs, SMALL).count() == 0
 
 
+def test_endpoints_that_hold_a_login():
+    token = "aB3dE5fG7hJ9kL1mN2pQ4rS6"
+    end = "postgres://admin:pw9x@db.example/x"
+    text = f"{end} then {token} here"
+    assert text_spans(text) == [("endpoint", 0, len(end)), ("token", len(end) + 6, len(end) + 6 + len(token))]
+    assert text_spans(f"{end} and no more") == []  # nothing that complements it
+    assert text_spans(f"https://db.example/x then {token} here") == []  # no one is named
+    assert text_spans(f"{end} {'far ' * 60}{token}") == []
+    plain, login = "https://db.example/x", "user=annie"
+    kinds = [k for k, *_ in text_spans(f"{plain} {login} {token}")]
+    assert kinds == ["endpoint", "login", "token"]

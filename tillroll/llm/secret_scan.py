@@ -5,8 +5,8 @@ characters), ``access`` (an access identifier) and ``hex`` (32 or more hex digit
 Weak candidates are a login name (``login``), a random-looking run of characters
 (``token``) and the address of a service (``endpoint``). On their own they say nothing; one is
 reported only if a complementary part lies in its scope, at most ``REACH`` code points away:
-a token next to an identifier or an endpoint with a name before a password, a login next to
-a secret, an endpoint next to an identifier and a secret.
+a token next to an identifier, a login or an endpoint with a name before a password, a login next to
+a secret, an endpoint next to a secret and, unless it holds a name and a password itself, an identifier.
 
 Parts of one class don't overlap and are in order, so the interval join of two classes is a
 binary search for each part.
@@ -43,6 +43,7 @@ _LOGIN = re.compile(
 )
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s"'<>]+""", re.ASCII)
+_USERINFO = re.compile(r"[^:/]+://[^:/@]+:[^/@]+@")
 
 Span = tuple[str, int, int]
 
@@ -95,7 +96,8 @@ def text_spans(text: str, reach: int = REACH) -> list[Span]:
 
     logins = free([("login", *m.span()) for m in _LOGIN.finditer(text)]) if named else []
     ends = [("endpoint", *m.span()) for m in _ENDPOINT.finditer(text)] if "://" in text else []
-    names = _apart([p for p in sure if p[0] == "access"] + logins)
+    known = [p for p in ends if _USERINFO.match(text, p[1], p[2])]  # these name who logs in
+    names = _apart([p for p in sure if p[0] == "access"] + logins + known)
     found = list(sure)
     # A token counts only next to an identifier or an endpoint, so without them none is looked for.
     tokens: list[Span] = []
@@ -106,7 +108,7 @@ def text_spans(text: str, reach: int = REACH) -> list[Span]:
     secrets = _apart([p for p in sure if p[0] != "access"] + tokens)
     found += [t for t in tokens if _near(t, names, reach)]
     found += [p for p in logins if _near(p, secrets, reach)]
-    found += [p for p in ends if _near(p, names, reach) and _near(p, secrets, reach)]
+    found += [p for p in ends if (p in known or _near(p, names, reach)) and _near(p, secrets, reach)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
