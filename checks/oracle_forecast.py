@@ -111,3 +111,10 @@ FROM sales WHERE YEAR(order_date) IN (1999, 2000) GROUP BY 1)
 SELECT *, {half_up("sales_current - sales_prior")} AS change,
        {pct("sales_current - sales_prior", "sales_prior")} AS change_pct FROM m""",
 }
+
+# The same rows, answered from a stored rollup.
+ORACLES |= {
+    "kpi_cards_rollup": ORACLES["kpi_cards"],
+    "kpi_drill_rollup": ORACLES["kpi_drill_cube"],
+    "monthly_year_compare_rollup": ORACLES["monthly_year_compare"],
+}

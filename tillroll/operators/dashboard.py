@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.dates import in_years
@@ -18,17 +18,25 @@ def kpi_cards(sales: DataFrame) -> DataFrame:
     orders = sales.groupBy(
         "region", F.date_format("order_date", "yyyy-MM").alias("month"), "order_id", "customer_id"
     ).agg(*[F.sum(c).alias(c) for c in ("sales", "profit", "quantity")])
+    distinct = {"total_orders": "order_id", "total_customers": "customer_id"}
+    return cards_of(card_sums(orders, {k: F.count_distinct(c) for k, c in distinct.items()}))
+
+
+def card_sums(rows: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """The figures of the whole, each region and each month, with ``counts`` beside the sums."""
     # grouping_id has a bit set for every key that is summed over.
-    level = F.grouping_id()
-    sums = orders.groupingSets([[], ["region"], ["month"]], "region", "month").agg(
-        level.alias("_set"),
-        F.count_distinct("order_id").alias("total_orders"),
-        F.count_distinct("customer_id").alias("total_customers"),
+    return rows.groupingSets([[], ["region"], ["month"]], "region", "month").agg(
+        F.grouping_id().alias("_set"),
+        *[x.alias(c) for c, x in counts.items()],
         half_up(F.sum("sales")).alias("total_revenue"),
         half_up(F.sum("profit")).alias("total_profit"),
         F.sum("quantity").alias("total_units_sold"),
         pct(F.sum("profit"), F.sum("sales")).alias("profit_margin_pct"),
     ).withColumn("value", F.col("total_revenue"))
+
+
+def cards_of(sums: DataFrame) -> DataFrame:
+    """(kpi, value) from the rows of ``card_sums``."""
     by_month = Window.partitionBy("_set").orderBy(F.asc_nulls_first("month"))
     latest = F.max("month").over(Window.partitionBy("_set"))
     cards = sums.withColumns({"_previous": F.lag("value").over(by_month), "_latest": latest})
@@ -51,20 +59,21 @@ def kpi_cards(sales: DataFrame) -> DataFrame:
 DRILL = ["region", "category", "segment"]
 
 
-def drill_through(sales: DataFrame) -> DataFrame:
+def drill_through(sales: DataFrame, lines: str | None = None) -> DataFrame:
     """Totals overall and by region, category and segment, from one pass over the table.
 
-    ``level`` says which breakdown a row belongs to.
+    ``level`` says which breakdown a row belongs to. ``lines`` names a column that says how many
+    lines each row stands for, if it isn't one.
     """
     # grouping_id has a bit set for every key that is summed over.
     levels = {0b111: "total", 0b011: "region", 0b101: "category", 0b110: "segment"}
     level = F.create_map(*[F.lit(x) for pair in levels.items() for x in pair])
     return (
-        sales.select(*DRILL, "sales", "profit", "quantity")
+        sales.select(*DRILL, "sales", "profit", "quantity", (F.col(lines) if lines else F.lit(1)).alias("_lines"))
         .groupingSets([[]] + [[c] for c in DRILL], *DRILL)
         .agg(
             level[F.grouping_id().cast("int")].alias("level"),
-            F.count(F.lit(1)).alias("lines"),
+            F.coalesce(F.sum("_lines"), F.lit(0)).alias("lines"),
             half_up(F.sum("sales")).alias("total_sales"),
             half_up(F.sum("profit")).alias("total_profit"),
             F.sum("quantity").alias("units_sold"),

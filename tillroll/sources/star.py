@@ -26,6 +26,22 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(TABLES[table]).parquet(f"{folder}/{table}.parquet")
 
 
+def orders_of_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with their customer and place."""
+    places = read(spark, folder, "nation").join(
+        read(spark, folder, "region"), F.expr("n_regionkey = r_regionkey")
+    )
+    customers = read(spark, folder, "customer").join(places, F.expr("c_nationkey = n_nationkey"))
+    return read(spark, folder, "orders").join(customers, F.expr("o_custkey = c_custkey"))
+
+
+def lines_of_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines with their part."""
+    return read(spark, folder, "lineitem").join(
+        read(spark, folder, "part"), F.expr("l_partkey = p_partkey")
+    )
+
+
 def sales_lines(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order line, plus the numeric order key ``k``.
 
@@ -33,14 +49,11 @@ def sales_lines(spark: SparkSession, folder: str) -> DataFrame:
     through two joins only and a dimension too large to broadcast is shuffled at
     its own size. Which side is broadcast is left to Spark's size threshold.
     """
-    places = read(spark, folder, "nation").join(
-        read(spark, folder, "region"), F.expr("n_regionkey = r_regionkey")
-    )
-    customers = read(spark, folder, "customer").join(places, F.expr("c_nationkey = n_nationkey"))
-    orders = read(spark, folder, "orders").join(customers, F.expr("o_custkey = c_custkey"))
-    lines = read(spark, folder, "lineitem").join(
-        read(spark, folder, "part"), F.expr("l_partkey = p_partkey")
-    )
+    return joined(lines_of_parts(spark, folder), orders_of_customers(spark, folder))
+
+
+def joined(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """The sales columns and ``k`` of lines and the orders they belong to."""
     price = "cast(l_extendedprice as decimal(12,2))"
     discount = "4 * cast(l_discount as decimal(4,2))"
     return lines.join(orders, F.expr("l_orderkey = o_orderkey")).selectExpr(
