@@ -403,7 +403,9 @@ def katz_scores(
     questions = chunks.mapInArrow(
         _questions(shards), "gram int, shard long, chunk long, n long, keys binary, counts binary"
     )
-    counted = questions.groupBy("gram", "shard").applyInPandas(
+    # As many tasks as shards ask for, so that a task's part doesn't grow with the table.
+    dealt = questions.repartition(2 * sum(shards.values()), "gram", "shard")
+    counted = dealt.groupBy("gram", "shard").applyInPandas(
         _count,
         "kind string, gram int, shard long, chunk long, n long, keys binary, payload binary, tally array<long>",
     )
@@ -434,7 +436,7 @@ def katz_scores(
             "asked long, asked_keys binary, asked_docs binary, asked_n binary",
         )
     )
-    weighed = said.groupBy("shard").applyInPandas(
+    weighed = said.repartition(2 * shards[2], "shard").groupBy("shard").applyInPandas(
         _weigh, f"chunk long, docs {documents}, who binary, sums binary"
     )
     return (
