@@ -394,8 +394,8 @@ def katz_scores(
     chunks = stage(texts.mapInArrow(_chunks(folds, fold, CHUNK), schema), "chunks")
     sizes = chunks.select(
         "training", F.length("vocabulary").alias("bytes")
-    ).agg(F.sum("training"), F.sum("bytes"))
-    training_docs, listed = sizes.first()
+    ).agg(F.sum("training"), F.sum("bytes"), F.count(F.lit(1)))
+    training_docs, listed, written_chunks = sizes.first()
     training_docs, listed = training_docs or 0, (listed or 0) // 8
     # Lists hold about a tenth of the tokens or more; shards follow them.
     shards = {1: max(1, listed // (SHARD // 2)), 2: max(1, 8 * listed // SHARD)}
@@ -403,7 +403,8 @@ def katz_scores(
     questions = chunks.mapInArrow(
         _questions(shards), "gram int, shard long, chunk long, n long, keys binary, counts binary"
     )
-    # As many tasks as shards ask for, so that a task's part doesn't grow with the table.
+    # As many tasks as shards and chunks ask for, so that a task's part doesn't grow with the table.
+    by_chunk = max(1, 2 * written_chunks), "chunk"
     dealt = questions.repartition(2 * sum(shards.values()), "gram", "shard")
     counted = dealt.groupBy("gram", "shard").applyInPandas(
         _count,
@@ -428,8 +429,8 @@ def katz_scores(
     answers = written.where("kind = 'answers'").select("gram", "shard", "chunk", "n", "payload")
     documents = "array<struct<id: long, tokens: long, known: long, base: double, score: double, train: int>>"
     said = (
-        chunks.groupBy("chunk")
-        .cogroup(answers.groupBy("chunk"))
+        chunks.repartition(*by_chunk).groupBy("chunk")
+        .cogroup(answers.repartition(*by_chunk).groupBy("chunk"))
         .applyInPandas(
             _evaluate(uni, low, training_docs, shards[2]),
             f"shard long, chunk long, docs {documents}, n long, keys binary, loss binary, mass binary, "
@@ -440,7 +441,7 @@ def katz_scores(
         _weigh, f"chunk long, docs {documents}, who binary, sums binary"
     )
     return (
-        weighed.groupBy("chunk")
+        weighed.repartition(*by_chunk).groupBy("chunk")
         .applyInPandas(_finish, "id long, tokens long, known long, base double, score double, train int")
         .select(
             F.col("id").alias(id_col),
