@@ -14,7 +14,7 @@ from tillroll.plans.cleaning import clean_sales, run_cleaning
 from tillroll.operators.statistics import quantiles
 from tillroll.schema import CANONICAL_COLUMNS, EXPECTED_COLUMNS, RENAMES, SALES, UNREADABLE
 from tillroll.schema import BROKEN_QUOTES, EXTRA_CELLS, MISSING_CELLS
-from tillroll.sources import files
+from tillroll.sources import files, star
 from tillroll.sources.star import raw_sales, register_sales, sales_table
 from tillroll.staging import staging_path
 
@@ -332,3 +332,37 @@ def test_reports_on_cleaned_lines(spark):
     assert sales.schema.simpleString() == SALES.simpleString()
     got = kpi_overall(sales).first()
     assert got["total_revenue"] == pytest.approx(cleaned.agg(F.sum("sales")).first()[0], abs=1)
+
+
+def test_grouping_raw_lines_needs_no_shuffle_of_whole_rows(spark, monkeypatch):
+    """Joined lines lie where equal rows meet, also where the parts are sized by the lines."""
+    monkeypatch.setattr(star, "LINES", 500)
+    for many in (star.MANY, 1000):
+        monkeypatch.setattr(star, "MANY", many)
+        raw = raw_sales(spark, SMALL)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = cleaning.drop_duplicates(raw)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert "Exchange" not in plan[: plan.index("SortMergeJoin")]
+    assert "hashpartitioning(order_id#" in plan and ", 12)" in plan
+
+
+def test_each_task_writes_its_own_rows_by_year(spark, tmp_path):
+    df = spark.range(0, 40, 1, 2).selectExpr("id", "2019 + cast(id % 2 as int) as year")
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    files.write_table(df, str(tmp_path / "own"), even=False)
+    assert spark.conf.get(name) == before
+    assert len(list((tmp_path / "own").glob("year=*/part-*"))) == 4  # two tasks, two years
+    assert sorted(map(tuple, files.read_table(spark, str(tmp_path / "own")).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_copies_are_counted_by_hash_as_by_row(spark):
+    rows = [("a", None, 1.0), (None, "a", 1.0), ("a", None, 1.0), ("a", "b", float("nan")), ("a", "b", float("nan")),
+            ("z", "z", 0.0), ("z", "z", -0.0), (None, None, None), (None, None, None), (None, None, None), ("u", "v", 2.0)]
+    df = spark.createDataFrame(rows, "x string, y string, n double")
+    by_row, by_hash = (quality.quality_report(df, "T", stored=s).first() for s in (False, True))
+    assert by_hash == by_row and by_row["duplicate_rows"] == 5
+    assert quality.quality_report(df.limit(0), "T", stored=True).first() == quality.quality_report(df.limit(0), "T").first()
