@@ -137,3 +137,13 @@ def test_a_customer_with_a_third_of_all_lines(spark, sales):
     assert {c: r["total_orders"] for c, r in got.items()} == {c: len(o) for c, o in orders.items()}
     ranks = {c: 1 + sum(v > totals[c] for v in totals.values()) for c in totals}
     assert {c: r["value_rank"] for c, r in got.items()} == ranks
+
+
+def test_cards_expand_lines_into_ids_once(spark, sales):
+    """Orders and customers are counted once for the whole, not for every month and region."""
+    lines = [{}, {"order_id": "2", "customer_id": None}, {"order_id": None}, {"region": None, "order_date": None}]
+    cards = dashboard.kpi_cards(sales(lines))
+    assert cards._jdf.queryExecution().executedPlan().toString().count("Expand [") == 1  # for the whole, months, regions
+    got = {r["kpi"]: r["value"] for r in cards.collect()}
+    assert (got["total_orders"], got["total_customers"], got["total_revenue"]) == (2, 1, 40)
+    assert got["latest_month_sales"] == 30 and got["region_sales: East"] == 30

@@ -12,14 +12,23 @@ from tillroll.functions.numeric import half_up, pct
 def kpi_cards(sales: DataFrame) -> DataFrame:
     """(kpi, value): the overall figures, the latest month and its growth, sales by region.
 
-    The table is read once, into sums by region, month, order and customer; the whole,
-    months and regions are summed from those.
+    The table is read once, into sums by region and month, a row for each order and one for each
+    customer; the whole, months and regions are summed and counted from those.
     """
-    orders = sales.groupBy(
-        "region", F.date_format("order_date", "yyyy-MM").alias("month"), "order_id", "customer_id"
-    ).agg(*[F.sum(c).alias(c) for c in ("sales", "profit", "quantity")])
-    distinct = {"total_orders": "order_id", "total_customers": "customer_id"}
-    return cards_of(card_sums(orders, {k: F.count_distinct(c) for k, c in distinct.items()}))
+    sums, ids = ["sales", "profit", "quantity"], {"total_orders": "order_id", "total_customers": "customer_id"}
+    types = {f.name: f.dataType for f in sales.schema.fields}
+
+    def row(of: str, **values: Column) -> Column:
+        kinds = {"region": "string", "month": "string", "id": "string"} | {c: types[c] for c in sums}
+        cells = [values.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]
+        return F.struct(F.lit(of).alias("of"), *cells)
+
+    month = F.date_format("order_date", "yyyy-MM")
+    each = [row("", region=F.col("region"), month=month, **{c: F.col(c) for c in sums})]
+    each += [row(name, id=F.col(c)) for name, c in ids.items()]
+    rows = sales.select(F.inline(F.array(*each)))
+    found = rows.groupBy("of", "region", "month", "id").agg(*[F.sum(c).alias(c) for c in sums])
+    return cards_of(card_sums(found, {name: F.count_if((F.col("of") == name) & F.col("id").isNotNull()) for name in ids}))
 
 
 def card_sums(rows: DataFrame, counts: dict[str, Column]) -> DataFrame:
