@@ -12,6 +12,7 @@ from checks import catalog
 from tests.conftest import SMALL
 from tests.test_plans import plan
 from tillroll.operators import dashboard, rollup, sketches
+from tillroll.sources import layout
 from tillroll.sources.layout import sales_of_layout, write_layout
 from tillroll.sources.star import sales_table
 
@@ -136,3 +137,12 @@ def test_bucketed_table_can_be_written_again(spark, tmp_path):
 def test_rollup_queries_agree_with_those_on_lines(spark, key):
     on_lines = {"kpi_drill": "kpi_drill_cube"}.get(key, key)
     assert rows(catalog.QUERIES[f"{key}_rollup"](spark, SMALL)) == rows(catalog.QUERIES[on_lines](spark, SMALL))
+
+
+def test_more_lines_make_more_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(layout, "LINES", 500)  # there are 6000
+    write_layout(spark, SMALL, str(tmp_path), buckets=4, prefix="many_lines")
+    for table in ("lines", "orders"):
+        assert "Num Buckets" in str(spark.sql(f"describe extended many_lines_{table}").where("col_name = 'Num Buckets' and data_type = '12'").collect())
+    found = sales_of_layout(spark, "many_lines")
+    assert "Exchange" not in plan(found) and rows(found) == rows(sales_table(spark, SMALL))
