@@ -57,3 +57,14 @@ def test_query_agrees_with_the_reports(spark):
     assert {r: got[r, "customer_id"] for r in regions} == regions
     total = catalog.QUERIES["kpi_overall"](spark, SMALL).first()
     assert (got["all", "order_id"], got["all", "customer_id"]) == (total.total_orders, total.total_customers)
+
+
+def test_bitmaps_sort_one_number_for_column_and_bucket(spark):
+    """Names of columns would make every sorted row longer; ids below zero keep their buckets."""
+    data = [("p", -1, "32769"), ("p", -40_000, "1"), (None, 32_768, None), ("p", -1, "32769")]
+    maps = distinct_bitmaps(spark.createDataFrame(data, IDS), ["k"], ["a", "b"])
+    text = maps._jdf.queryExecution().executedPlan().toString()
+    assert "counted" not in text[text.index("Exchange") :]
+    got = {(r.k, r.counted, r.bucket) for r in maps.collect()}
+    bucket = spark.sql("select bitmap_bucket_number(-1), bitmap_bucket_number(-40000)").first()
+    assert got == {("p", "a", bucket[0]), ("p", "a", bucket[1]), (None, "a", 1), ("p", "b", 1), ("p", "b", 2)}

@@ -17,11 +17,15 @@ def distinct_bitmaps(df: DataFrame, keys: list[str], ids: list[str]) -> DataFram
     Ids are whole numbers, as numbers or text; any other text is an error. Null ids are not counted, null
     keys are keys of their own. Best for ids that are dense within a key, since a bitmap has 4 KB.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("counted"), F.col(c).cast("long").alias("id")) for c in ids]))
-    rows = df.select(*keys, each.alias("_one")).select(*keys, "_one.counted", "_one.id").where("id is not null")
-    return rows.groupBy(*keys, "counted", F.bitmap_bucket_number("id").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits")
-    )
+    n, which = len(ids), F.pmod("_code", F.lit(len(ids)))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).cast("long").alias("id")) for i, c in enumerate(ids)]))
+    rows = df.select(*keys, each.alias("_one")).select(*keys, "_one.which", "_one.id").where("id is not null")
+    # Rows are sorted where they are read: one number for column and bucket keeps them small.
+    coded = rows.select(*keys, (F.bitmap_bucket_number("id") * n + F.col("which")).alias("_code"), "id")
+    maps = coded.groupBy(*keys, "_code").agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+    counted = F.element_at(F.array(*[F.lit(c) for c in ids]), (which + 1).cast("int"))
+    bucket = F.expr(f"(_code - pmod(_code, {n})) div {n}")
+    return maps.select(*keys, counted.alias("counted"), bucket.alias("bucket"), "bits")
 
 
 def merge_bitmaps(bitmaps: DataFrame, keys: list[str]) -> DataFrame:
