@@ -162,6 +162,65 @@ def test_edit_distance(a, b):
     assert passages._edits(a, b) == row[-1]
 
 
+@settings(max_examples=80, deadline=None)
+@given(
+    st.lists(
+        st.lists(st.tuples(st.sampled_from([0, 1, 4, 39, 40, 41, 60, 200, 300]), st.sampled_from([0] * 12 + [1, -3])), min_size=1, max_size=9),
+        min_size=1, max_size=4,
+    )
+)
+def test_chains_on_one_diagonal_need_no_search(pairs):
+    """Matches of pairs of documents, as steps forward and off the diagonal."""
+    matches = [sorted(zip(np.cumsum([s for s, _ in p]).tolist(), np.cumsum([s + off for s, off in p]).tolist())) for p in pairs]
+    lows = np.cumsum([0, *map(len, matches[:-1])])
+    x, y = (np.array(v) for v in zip(*sum(matches, [])))
+    bent, first, last = passages._straight(x, y, lows)
+    assert bent.tolist() == [len({b - a for a, b in m}) > 1 for m in matches]
+    want = [c for m, b in zip(matches, bent) if not b for c in chains(*map(np.array, zip(*m)))]
+    assert sorted(zip(x[first], y[first], x[last], y[last])) == sorted(want)
+
+
+def test_parts_of_a_text_are_shuffled_together(spark, capsys):
+    words = " ".join(f"w{i}" for i in range(60))
+    frame = spark.createDataFrame([(1, words, 1, "", 1), (2, words, 1, "", 1)], DOCS)
+    result = repeated_passages(frame)
+    result.explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(home" in plan and "hashpartitioning(key" not in plan
+    assert [(r.doc_id, r.end_word, r.partner_id) for r in result.collect()] == [(2, 60, 1)]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(0, 3), max_size=60), st.lists(st.integers(0, 3), max_size=60)), min_size=1, max_size=6), st.sampled_from([1, 2, 4]))
+def test_ends_of_passages(pairs, price):
+    """How far two texts go on together, cell by cell, with the words beyond ``REACH`` left out."""
+    ends = [[np.array(s[n], dtype=np.uint32)[: passages.REACH] for s in pairs] for n in (0, 1)]
+    flat = [np.concatenate([*e, np.zeros(1, np.uint32)]) for e in ends]
+    sizes = [np.array([len(v) for v in e]) for e in ends]
+    base = [np.cumsum([0, *n[:-1]]) for n in sizes]
+    one = passages._words_from(flat[0], base[0], sizes[0], 1, passages.REACH, 0, passages.NONE)
+    two = passages._words_from(flat[1], base[1], sizes[1], 1, passages.REACH + 2 * passages.DRIFT, passages.DRIFT, passages.NONE - 1)
+    got = list(zip(*(v.tolist() for v in passages._beyond(one, two, price))))
+    for (a, b), (end_a, end_b) in zip(zip(*ends), got):
+        best, at = 0, (0, 0)
+        last = {j: -price * j for j in range(passages.DRIFT + 1)}
+        for i in range(1, passages.REACH + 1):
+            row = {}
+            for j in range(i - passages.DRIFT, i + passages.DRIFT + 1):
+                same = i <= len(a) and 1 <= j <= len(b) and a[i - 1] == b[j - 1]
+                ways = [last[j - 1] + (1 if same else -price)] if j - 1 in last else []
+                ways += [last[j] - price] if j in last else []
+                ways += [row[j - 1] - price] if j - 1 in row else []
+                if ways:
+                    row[j] = max(ways)
+            top = max(row.values())
+            places = [j for j, v in row.items() if v == top]
+            if top > best or price == 1 and top == best:
+                best, at = top, (i, places[-1] if price == 1 else places[0])
+            last = row
+        assert (end_a, end_b) == at
+
+
 def test_one_passage_in_every_document(spark, monkeypatch):
     """Seeds and texts with a large share of all rows, in lots of a few."""
     monkeypatch.setattr(passages, "LOT", 4)
