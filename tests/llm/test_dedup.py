@@ -313,6 +313,36 @@ def test_passages_of_common_lines(spark):
     assert got <= {(a, b) for a, b in got if len(set(texts[a]) & set(texts[b])) >= 40}
 
 
+def test_every_pair_of_edited_passages_of_common_lines(spark, monkeypatch):
+    """Lines, and pairs of them, stand earlier in other texts; pairs of texts share three, with an edit in each."""
+    rng = random.Random(14)
+    fresh = lambda n: [f"{rng.randrange(10**9)}" for _ in range(n)]
+    lines = [fresh(18) for _ in range(10)]
+    texts = [[*fresh(9), *line, *fresh(9)] for line in lines]
+    texts += [[*fresh(60), *a, *b, *fresh(60)] for a in lines for b in lines if a is not b]
+    links = set()
+    for _ in range(25):
+        shared = sum(rng.sample(lines, 3), [])
+        edited = [fresh(1)[0] if i % 18 == 9 else w for i, w in enumerate(shared)]
+        links.add((len(texts), len(texts) + 1))
+        texts += [[*fresh(60), *shared, *fresh(60)], [*fresh(60), *edited, *fresh(60)]]
+    rows = [(n, " ".join(text), 1, "", 1) for n, text in enumerate(texts)]
+    rows += [(n + 1000, *rows[n][1:]) for n in range(len(texts) - 6, len(texts))]  # copies
+    frame = spark.createDataFrame(rows, DOCS)
+    found = lambda **kw: sorted((r.partner_id, r.doc_id, r.first_word, r.end_word) for r in repeated_passages(frame, **kw).collect())
+    got = found(every=True)
+    pairs = {g[:2] for g in got}
+    assert links <= pairs and not links <= {g[:2] for g in found()}
+    assert {(a, b) for a, b in pairs if b >= 1000} == {(n, n + 1000) for n in range(len(texts) - 6, len(texts))}
+    alone = set()  # each two texts by themselves
+    for a, b in sorted(links)[:2]:
+        two = repeated_passages(spark.createDataFrame([rows[a], rows[b]], DOCS)).collect()
+        alone |= {(r.partner_id, r.doc_id, r.first_word, r.end_word) for r in two}
+    assert len(alone) >= 2 and alone <= set(got)
+    monkeypatch.setattr(passages, "CELL", 3)  # many lots of a seed
+    assert found(every=True) == got
+
+
 def test_numbers_of_runs():
     ids = np.random.default_rng(1).integers(0, 3, 200).astype(np.uint64)
     for size in (1, 3, 16, 50, 200, 201):
