@@ -343,6 +343,71 @@ def test_every_pair_of_edited_passages_of_common_lines(spark, monkeypatch):
     assert found(every=True) == got
 
 
+def plain_matches(texts):
+    """Every two occurrences of a seed in different texts, one by one; runs of repeated words from both ends."""
+    first, places, out = {}, {}, set()
+    for node in sorted(texts):
+        seeds, _, at, _, _ = passages._seed_places(pa.array([texts[node]]))
+        places[node] = sorted(zip(seeds.tolist(), at.tolist()))
+        if texts[node] in first:
+            out |= {(node, first[texts[node]], place, place) for _, place in places.pop(node)}
+        first.setdefault(texts[node], node)
+    found = {}
+    for node, own in places.items():
+        if len(texts[node].split()) < passages.LEAST:
+            continue
+        runs = []
+        for seed, place in own:
+            if not runs or runs[-1][-1][0] != seed or place - runs[-1][-1][1] >= passages.K:
+                runs.append([])
+            runs[-1].append((seed, place))
+        for run in runs:
+            long = run[-1][1] - run[0][1] >= passages.TURNS
+            for n, (seed, place) in enumerate(run):
+                turns = (n, len(run) - 1 - n) if long else (0, 0)
+                found.setdefault(seed, []).append((node, place, *turns))
+    for rows in found.values():
+        for one in rows:
+            for two in rows:
+                if one[0] < two[0] and (one[2] == two[2] or one[3] == two[3]):
+                    out.add((two[0], one[0], two[1], one[1]))
+    return out
+
+
+@pytest.mark.parametrize("changed", [{}, {"CELL": 3, "PAIRS": 5}, {"CELL": 3, "FEW": 20}, {"FEW": 20}])
+def test_every_two_occurrences_of_a_seed_meet(spark, monkeypatch, changed):
+    rng = random.Random(31)
+    fresh = lambda n: [f"{rng.randrange(10**9)}" for _ in range(n)]
+    lines = [fresh(12) for _ in range(4)] + [["of"] * n for n in (30, 110, 170)] + [["a", "b"] * 60]
+    texts = [" ".join(sum([fresh(9), *rng.sample(lines, 2), fresh(9), rng.choice(lines)], [])) for _ in range(25)]
+    texts += texts[3:6] + [" ".join(lines[0]), " ".join(fresh(20) + lines[1]), "", " ".join(fresh(50))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    for name, value in changed.items():
+        monkeypatch.setattr(passages, name, value)
+    pairs = lambda df: {(r.id, r.partner, r["at"], r.partner_at) for r in df.collect()}
+    want = plain_matches(dict(enumerate(texts)))
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(batch)
+    spark.conf.set(batch, "17")
+    try:
+        assert pairs(passages._all_matches(frame)) == want | pairs(passages._matches(frame)) and len(want) > 1000
+    finally:
+        spark.conf.set(batch, kept)
+
+
+def test_all_pairs_shuffle_the_seeds_once(spark, capsys):
+    words = " ".join(f"w{i}" for i in range(60))
+    frame = spark.createDataFrame([(1, words), (2, f"{words} x")], "id long, text string")
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan shows no reuse before it runs
+    try:
+        passages._all_matches(frame).explain()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    plan = capsys.readouterr().out.splitlines()
+    assert len([x for x in plan if "hashpartitioning(seed" in x and "ReusedExchange" not in x]) == 1
+
+
 def test_numbers_of_runs():
     ids = np.random.default_rng(1).integers(0, 3, 200).astype(np.uint64)
     for size in (1, 3, 16, 50, 200, 201):
