@@ -395,6 +395,21 @@ def test_every_two_occurrences_of_a_seed_meet(spark, monkeypatch, changed):
         spark.conf.set(batch, kept)
 
 
+def test_turns_of_frequent_seeds_are_dealt_out():
+    """No turn of the first seed has more than ``CELL`` rows, but the seed has."""
+    texts, turns = 64, 40
+    assert texts < passages.CELL < texts * turns
+    rows = [(7, 0, 0, n, 5 * h, h << 32 | turns - 1 - h) for n in range(texts) for h in range(turns)]
+    rows += [(8, 0, 0, n, 900, 0) for n in range(3)]
+    seed, short, long, ids, at, turn = (np.array(c) for c in zip(*rows))
+    table = lambda *c: pa.RecordBatch.from_arrays([pa.array(x) for x in c], names=list("abcdef")[: len(c)])
+    dealt = [r for b in passages._dealt([table(seed, short, ids, at, turn)]) for r in b.to_pylist()]
+    assert len(dealt) == 2 * texts * turns and {(r["seed"], r["lots"]) for r in dealt} == {(7, 1)}
+    met = [r for b in passages._to_each([table(seed, ids, at, short - 1, long - 1, turn)]) for r in b.to_pylist()]
+    assert len([r for r in met if r["at"] < 900]) == (texts - 1) * turns  # with the first only
+    assert {(r["id"], r["partner"]) for r in met if r["at"] == 900} == {(1, 0), (2, 0), (2, 1)}
+
+
 def test_all_pairs_shuffle_the_seeds_once(spark, capsys):
     words = " ".join(f"w{i}" for i in range(60))
     frame = spark.createDataFrame([(1, words), (2, f"{words} x")], "id long, text string")
