@@ -306,3 +306,37 @@ def test_a_lot_of_one_hot_string_is_split(spark, monkeypatch):
     assert {r.doc_id for r in found if r.spans} == set(range(1, 900))
     have = [(r.doc_id, r.n_bytes, [tuple(x) for x in r.spans], bytes(r.kept)) for r in found]
     assert sorted(have, key=str) == sorted(plain_removal(rows), key=str)
+
+
+def test_a_shard_sends_a_row_for_each_range(spark, monkeypatch):
+    """However many lots there are; before, rows grew with shards times lots. Ranges get wider where there are many."""
+    for name, value in (("LOT", 900), ("SHARD", 2000), ("RANGE", 20), ("RANGES", 4), ("WIDEST", 200)):
+        monkeypatch.setattr(suffixes, name, value, raising=False)
+    seen, before = {}, suffixes.stage
+    monkeypatch.setattr(suffixes, "stage", lambda df, label: seen.setdefault(label, before(df, label)))
+    rows = repeated_texts(random.Random(9))
+    got = remove_repeats(docs_of(spark, rows))
+    found = [(r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in got.collect()]
+    assert sorted(found, key=str) == sorted(plain_removal(rows), key=str)
+    whole, answers = seen["tiles"].where("parts = 1"), seen["answers"]
+    assert answers.agg({"n_lots": "max"}).first()[0] > 1 and whole.count() > 0
+    assert whole.groupBy("shard", "range").count().agg({"count": "max"}).first()[0] == 1
+    size = sum(len((text or "").encode()) for _, text in rows)
+    assert 1 < answers.select("range").distinct().count() <= size // (15 * 200) + 1
+
+
+def test_equal_tiles_of_a_lot_are_sorted_once():
+    rng = np.random.default_rng(3)
+    raw = rng.integers(0, 3, 400, dtype=np.uint8)
+    tiles = [raw[a : a + n].tobytes() for a, n in ((0, 60), (10, 55), (200, 80), (3, 57))]
+    some = rng.integers(0, len(tiles), 300)
+    text, ids = b"".join(tiles[n] for n in some), rng.integers(0, 1000, 300)
+    ends = np.cumsum([len(tiles[n]) for n in some])
+    found = suffixes.Strings(text, ends - [len(tiles[n]) for n in some], ends, ids)
+    assert len(found.symbols) == sum(len(tile) + 1 for tile in tiles)
+    strings = [[tiles[n][k : k + 50] for k in range(len(tiles[n]) - 49)] for n in some]
+    least = {}
+    for own, id_ in zip(strings, ids.tolist()):
+        least |= {x: min(id_, least.get(x, id_)) for x in own}
+    want = [sum((least[x] < id_) << k for k, x in enumerate(own)) for own, id_ in zip(strings, ids.tolist())]
+    assert found.masks(found.least).tolist() == want

@@ -6,9 +6,9 @@
    has is done, and so is one whose k-gram comes with one and the same tile everywhere.
 2. Documents are held in shards of some megabytes. A shard names each k-gram once, with the
    hash of its tile and the least id, so a hot k-gram is a row per shard; ranges of k-grams
-   are merged and answer each shard.
-3. The tiles that are left are dealt out by their k-grams. Each lot gets a suffix array by
-   Larsson and Sadakane's refinement (only groups not yet told apart are sorted again, by the
+   are merged and answer each shard. Ranges get wider with the table, as shards times ranges are rows.
+3. The tiles that are left are dealt out by their k-grams, a row for each shard and range. Within a range
+   they go lot by lot, and each lot gets a suffix array of its different tiles by Larsson and Sadakane's refinement (only groups not yet told apart are sorted again, by the
    ranks twice as far on) and common prefixes by Kasai's rule; suffixes that have LENGTH
    bytes in common are one string, and the least id that has it decides.
 4. A lot too large for one task (many different tiles around one k-gram) is split. Each part
@@ -37,9 +37,12 @@ GRAM = 20
 REACH = LENGTH - GRAM + 1  # k-grams of a string
 SHARD = 4 << 20  # bytes of text
 RANGE = 500_000  # k-grams named by all shards, for each range
+RANGES = 256  # ranges get wider if there are more
+WIDEST = 4 * RANGE  # k-grams of a range at most
 LOT = 1 << 19  # bytes of tiles in a lot
 SEGMENT = 1 << 15  # bytes looked at a time
 FREE, EARLIER, CONTESTED = 0, 1, 2
+WHOLE = -1  # all lots of a range that are not split
 
 _BASE = 0x9E3779B97F4A7C15
 _tables: dict[str, np.ndarray] = {}  # filled within tasks
@@ -256,8 +259,11 @@ def _states(tiles: Tiles, answers: pd.DataFrame) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint8), *parts])
 
 
-def _contested(shard: int, tiles: Tiles, answers: pd.DataFrame) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
-    """Range, lot, part, parts and tiles (the first of those that are equal) of what is to be told apart."""
+def _contested(shard: int, tiles: Tiles, answers: pd.DataFrame) -> Iterator[tuple[int, int, int, int, np.ndarray, np.ndarray]]:
+    """Range, lot, part, parts and tiles (the first of those that are equal) of what is to be told apart, and the tiles' lots.
+
+    The lots of a range that are whole come together, in order, under ``WHOLE``.
+    """
     answers = answers.sort_values("range")
     states = _states(tiles, answers)
     wanted = tiles.tiles[states[tiles.of_gram[tiles.tiles]] == CONTESTED]
@@ -268,13 +274,19 @@ def _contested(shard: int, tiles: Tiles, answers: pd.DataFrame) -> Iterator[tupl
             continue
         lot, splits = _lot_of(tiles.gram[own], int(lots)), unpack(splits, int(lots)).astype(np.int64)
         part = (mix((tiles.hash[own] ^ shard).view(np.uint64)) >> np.uint64(40)).astype(np.int64) % splits[lot]
-        order = np.lexsort((part, lot))
-        for _, s in _parts((lot * (int(splits.max()) + 1) + part)[order]):
+        group = np.where(splits[lot] > 1, 1 + lot * (int(splits.max()) + 1) + part, 0)
+        order = np.lexsort((lot, group))
+        for found, s in _parts(group[order]):
             some = order[s]
-            yield int(number), int(lot[some[0]]), int(part[some[0]]), int(splits[lot[some[0]]]), own[np.sort(some)]
+            first = some[0]
+            named = (int(lot[first]), int(part[first]), int(splits[lot[first]])) if found else (WHOLE, 0, 1)
+            yield int(number), *named, own[some], lot[some]
 
 
-_TILES = "range long, lot long, part long, parts long, shard long, n long, bytes long, counts binary, least long, ids binary, text binary"
+_TILES = (
+    "range long, lot long, part long, parts long, shard long, n long, bytes long, lots binary, counts binary, "
+    "least long, ids binary, text binary"
+)
 
 
 def _ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -284,11 +296,12 @@ def _ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     if len(left) and len(right):
         row = left.iloc[0]
         *_, raw, _, tiles = _load(row)
-        for number, lot, part, parts, own in _contested(int(row["shard"]), tiles, right):
+        for number, lot, part, parts, own, lots in _contested(int(row["shard"]), tiles, right):
             text = raw[_ragged(tiles.first[own], tiles.count[own] + LENGTH - 1)].tobytes()
             least, ids = _pack_ids(tiles.id[own])
             packed = pa.compress(text, codec="zstd", asbytes=True)
-            rows.append((number, lot, part, parts, row["shard"], len(own), len(text), pack(tiles.count[own]), least, ids, packed))
+            lots, counts = pack_keys(lots.astype(np.uint64)), pack(tiles.count[own])
+            rows.append((number, lot, part, parts, row["shard"], len(own), len(text), lots, counts, least, ids, packed))
     return pd.DataFrame(rows, columns=names)
 
 
@@ -366,24 +379,35 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out[order]
 
 
+def _tiles_in(rows: pd.DataFrame) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The text of some rows' tiles, where in it each begins and ends, and the ids."""
+    sizes = rows["n"].tolist()
+    count = np.concatenate([unpack(x, n) for x, n in zip(rows["counts"], sizes)]).astype(np.int64)
+    ids = np.concatenate([_unpack_ids(b, x, n) for b, x, n in zip(rows["least"], rows["ids"], sizes)])
+    text = b"".join([pa.decompress(x, int(n), codec="zstd", asbytes=True) for x, n in zip(rows["text"], rows["bytes"])])
+    ends = np.cumsum(count + LENGTH - 1)
+    return text, ends - (count + LENGTH - 1), ends, ids
+
+
 class Strings:
-    """All strings of the tiles of a lot: which are equal, and the least id that has each."""
-
-    def __init__(self, rows: pd.DataFrame):
-        sizes = rows["n"].tolist()
-        self.count = np.concatenate([unpack(x, n) for x, n in zip(rows["counts"], sizes)]).astype(np.int64)
-        self.id = np.concatenate([_unpack_ids(b, x, n) for b, x, n in zip(rows["least"], rows["ids"], sizes)])
-        text = b"".join([pa.decompress(x, int(n), codec="zstd", asbytes=True) for x, n in zip(rows["text"], rows["bytes"])])
-        length = self.count + LENGTH - 1
-        self.raw = np.frombuffer(text, np.uint8)
+    """All strings of the tiles of a lot: which are equal, and the least id that has each. Equal tiles are looked at once."""
+
+    def __init__(self, text: bytes, begins: np.ndarray, ends: np.ndarray, ids: np.ndarray):
+        tiles = np.empty(len(ids), dtype=object)
+        tiles[:] = [text[a:b] for a, b in zip(begins.tolist(), ends.tolist())]
+        self.of, different = pd.factorize(tiles)
+        self.id, length = ids, np.array([len(tile) for tile in different], dtype=np.int64)
+        least = np.full(len(different), np.iinfo(np.int64).max)
+        np.minimum.at(least, self.of, ids)
+        self.count = length - LENGTH + 1
+        raw = np.frombuffer(b"".join(different), np.uint8)
         # Bytes as 1 to 256; a zero ends each tile.
-        self.begin = np.cumsum(length + 1) - (length + 1)
+        begin = np.cumsum(length + 1) - (length + 1)
         symbols = np.zeros(int((length + 1).sum()), dtype=np.int16)
-        symbols[_ragged(self.begin, length)] = self.raw.astype(np.int16) + 1
+        symbols[_ragged(begin, length)] = raw.astype(np.int16) + 1
         order = suffix_array(symbols)
         common = common_prefixes(symbols, order)
-        starts = _ragged(self.begin, self.count)  # of all strings
-        self.tile = np.repeat(np.arange(len(self.count)), self.count)
+        starts = _ragged(begin, self.count)  # of all strings
         string_at = np.full(len(symbols), -1, dtype=np.int64)
         string_at[starts] = np.arange(len(starts))
         # Equal strings follow each other; what has less than LENGTH bytes left shares less with any.
@@ -394,7 +418,7 @@ class Strings:
         self.kind = np.empty(len(starts), dtype=np.int64)
         self.kind[found[whole]] = kind
         self.least = np.full(len(kinds), np.iinfo(np.int64).max)
-        np.minimum.at(self.least, self.kind, self.id[self.tile])
+        np.minimum.at(self.least, self.kind, np.repeat(least, self.count))
         head = np.zeros(len(kinds), dtype=np.int64)
         head[self.kind] = np.arange(len(starts))
         self.symbols, self.heads = symbols, starts[head]  # a place of each, in order
@@ -406,12 +430,11 @@ class Strings:
 
     def masks(self, least: np.ndarray) -> np.ndarray:
         """Per tile a bit for each of its strings that stands in a document with a smaller id."""
-        gone = least[self.kind] < self.id[self.tile]
-        first = np.cumsum(self.count) - self.count
-        bit = np.arange(len(gone)) - first[self.tile]
-        out = np.zeros(len(self.count), dtype=np.int64)
-        np.add.at(out, self.tile, gone.astype(np.int64) << bit)
-        return out
+        count, first = self.count[self.of], (np.cumsum(self.count) - self.count)[self.of]
+        begins = np.cumsum(count) - count
+        gone = least[self.kind[_ragged(first, count)]] < np.repeat(self.id, count)
+        bit = np.arange(len(gone)) - np.repeat(begins, count)
+        return np.add.reduceat(gone.astype(np.int64) << bit, begins)
 
 
 _TOLD = "shard long, range long, lot long, part long, n long, masks binary"
@@ -425,10 +448,16 @@ def _told(rows: pd.DataFrame, masks: np.ndarray) -> pd.DataFrame:
 
 
 def _tell(group: pd.DataFrame) -> pd.DataFrame:
-    """A lot that is whole."""
+    """The lots of a range that are whole, one after the other."""
     group = group.sort_values("shard").reset_index(drop=True)
-    found = Strings(group)
-    return _told(group, found.masks(found.least))
+    text, begins, ends, ids = _tiles_in(group)
+    lots = np.concatenate([unpack_keys(x, n) for x, n in zip(group["lots"], group["n"].tolist())]).astype(np.int64)
+    masks, order = np.zeros(len(ids), dtype=np.int64), np.argsort(lots, kind="stable")
+    for _, s in _parts(lots[order]):
+        some = order[s]
+        found = Strings(text, begins[some], ends[some], ids[some])
+        masks[some] = found.masks(found.least)
+    return _told(group, masks)
 
 
 _LISTED = "range long, lot long, slice long, part long, n long, lines binary, least long, ids binary"
@@ -445,7 +474,7 @@ def _slice_of(lines: np.ndarray, slices: int) -> np.ndarray:
 def _list(group: pd.DataFrame) -> pd.DataFrame:
     """A part of a lot: its strings in the order of its suffix array, dealt to slices."""
     group = group.sort_values("shard")
-    found = Strings(group)
+    found = Strings(*_tiles_in(group))
     row, lines = group.iloc[0], found.lines()
     slice_ = _slice_of(lines, int(row["parts"]))
     order = np.argsort(slice_, kind="stable")
@@ -486,7 +515,7 @@ def _merge(group: pd.DataFrame) -> pd.DataFrame:
 def _tell_part(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """A part of a lot, with what the merged lists say."""
     left = left.sort_values("shard").reset_index(drop=True)
-    found = Strings(left)
+    found = Strings(*_tiles_in(left))
     slice_ = _slice_of(found.lines(), int(left["parts"].iloc[0]))
     least = np.empty(len(slice_), dtype=np.int64)
     for row in right.itertuples(index=False):
@@ -507,7 +536,7 @@ def _finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         states = _states(tiles, answers)[tiles.of_gram[tiles.tiles]]
         gone[states == EARLIER] = -1
         told = right[right["masks"].notna()].set_index(["range", "lot", "part"])["masks"].to_dict()
-        for number, lot, part, _, own in _contested(int(row["shard"]), tiles, answers):
+        for number, lot, part, _, own, _ in _contested(int(row["shard"]), tiles, answers):
             gone[tiles.of_tile[own]] = unpack(told[number, lot, part], len(own)).astype(np.int64)
     mask = np.where(tiles.id > tiles.id[tiles.tiles][tiles.of_tile], -1, gone[tiles.of_tile]) if len(tiles.id) else gone
     some = np.flatnonzero(mask)
@@ -548,13 +577,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         texts.mapInArrow(_shards, "shard long, ids array<long>, sizes binary, bytes long, text binary"), "shards"
     )
     total = shards.agg(F.sum("bytes")).first()[0] or 0
-    ranges = 1 + total // (RANGE * REACH // 2)
+    grams = total // (REACH // 2)
+    ranges = 1 + grams // min(WIDEST, max(RANGE, grams // RANGES))
     named = shards.mapInArrow(_named(ranges), _NAMED)
     answers = stage(named.groupBy("range").applyInPandas(_answer, _ANSWERED), "answers")
     asked = shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(_ask, _TILES)
     asked = stage(asked, "tiles")
-    told = asked.where("parts = 1").groupBy("range", "lot").applyInPandas(_tell, _TOLD)
-    large = asked.where("parts > 1")
+    told = asked.where(F.col("lot") == WHOLE).groupBy("range").applyInPandas(_tell, _TOLD)
+    large = asked.where(F.col("lot") != WHOLE)
     keys = ["range", "lot", "part"]
     listed = large.groupBy(*keys).applyInPandas(_list, _LISTED)
     merged = listed.groupBy("range", "lot", "slice").applyInPandas(_merge, _MERGED)
