@@ -423,6 +423,58 @@ def test_all_pairs_shuffle_the_seeds_once(spark, capsys):
     assert len([x for x in plan if "hashpartitioning(seed" in x and "ReusedExchange" not in x]) == 1
 
 
+def staged_by(monkeypatch):
+    """The tables that op9 stages from now on, by label."""
+    seen, before = {}, passages.stage
+
+    def stage(df, label):
+        seen[label] = before(df, label)
+        return seen[label]
+
+    monkeypatch.setattr(passages, "stage", stage)
+    return seen
+
+
+def test_a_part_of_a_text_goes_to_a_cell_once(spark, monkeypatch):
+    """However many chains want it; before, each chain had the words of both sides for itself."""
+    rng = random.Random(41)
+    fresh = lambda n: [f"{rng.randrange(10**9)}" for _ in range(n)]
+    shared = fresh(60)
+    rows = [(n, " ".join([*fresh(60), *shared, *fresh(60)]), 1, "", 1) for n in range(30)]
+    frame, seen = spark.createDataFrame(rows, DOCS), staged_by(monkeypatch)
+    got = sorted(repeated_passages(frame, every=True).collect())
+    assert len(got) == 30 * 29 // 2 and all(r.end_word - r.first_word == 60 for r in got)
+    parts = seen["wanted"].collect()
+    assert len(parts) == len(set(parts)) == 30 and seen["chains"].count() == len(got)
+    monkeypatch.setattr(passages, "CHAINS", 40)
+    assert sorted(repeated_passages(frame, every=True).collect()) == got
+    cells = {r.home for r in seen["wanted"].collect()}
+    assert len(cells) > 6 and seen["wanted"].count() <= 30 * (2 * 4)  # a row and a column of cells each
+
+
+def test_later_copies_are_matched_once(spark, monkeypatch):
+    """All later copies of a text have the passages of the second one; before, each was matched by itself."""
+    rng = random.Random(42)
+    fresh = lambda n: [f"{rng.randrange(10**9)}" for _ in range(n)]
+    shared = fresh(60)
+    texts = [fresh(20) + shared, fresh(9) + shared + fresh(70), fresh(30), shared + shared]
+    rows = [(n, " ".join(w), 1, "", 1) for n, w in enumerate(texts)]
+    seen = staged_by(monkeypatch)
+
+    def found(copies):
+        more = [(100 * k + n, rows[n][1], 1, "", 1) for k in range(1, 1 + copies) for n in (1, 2, 3)]
+        got = repeated_passages(spark.createDataFrame(rows + more, DOCS), every=True).collect()
+        return sorted(tuple(r) for r in got), seen["chains"].count()
+
+    (once, few), (often, many) = found(1), found(12)
+    assert few == many
+    assert [r for r in often if r[0] < 200] == once and any(r[0] == 101 and r[3] == 0 for r in once)
+    for k in range(2, 13):
+        assert [(r[0] % 100, *r[1:]) for r in often if r[0] // 100 == k] == [(r[0] - 100, *r[1:]) for r in once if r[0] >= 100]
+    monkeypatch.setattr(passages, "SMALL", 0)
+    assert found(12)[0] == often
+
+
 def test_numbers_of_runs():
     ids = np.random.default_rng(1).integers(0, 3, 200).astype(np.uint64)
     for size in (1, 3, 16, 50, 200, 201):
