@@ -536,3 +536,13 @@ def test_first_occurrences_across_batches(rows, size):
                 if first[0] != node:
                     want.add((node, first[0], at, first[1]))
     assert set(got) == want
+
+
+def test_runs_that_are_not_there_take_no_match_away():
+    rows = [(1, 0, 0, 0, 1), (1, 0, 1, -1, 0), (1, 1, 0, -1, 0)]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([c], pa.int64() if i < 2 else pa.int32()) for i, c in enumerate(row)], names=list("abcde"))
+        for row in rows
+    ]
+    got = {tuple(r.values()) for b in passages._to_first(iter(batches)) for r in b.to_pylist()}
+    assert got == {(1, 0, 0, 0), (1, 0, 0, 1)}
